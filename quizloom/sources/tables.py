@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quizloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="quizloom-")
+    ignore = shutil.ignore_patterns("__pycache__")
+    shutil.copytree(home, Path(folder, "tree", home.name), ignore=ignore)
+    context.addPyFile(shutil.make_archive(f"{folder}/{home.name}", "zip", f"{folder}/tree"))
+    context._quizloom_shipped = True
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; column pruning and filters reach the scan."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
