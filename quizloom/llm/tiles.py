@@ -27,9 +27,11 @@ THRESHOLD = 0.7
 #: task gets then has at most (words per set) / COMMON_SHARE rows, whatever the data's size.
 COMMON_SHARE = 0.001
 #: Tiles of words held by more sets than this are split by the second shared word.
-HOT_WORD = 30_000
-#: Rows compared at once with the rows of a large tile.
-BLOCK = 64
+HOT_WORD = 500_000
+#: Rows compared at once with the rows of a large tile, and the length of such a row.
+BLOCK, WIDE = 64, 1024
+#: Bits of the bitmap that says which sets have candidates: 2 MB whatever the data's size.
+BITS = 24
 
 
 def needed_overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
@@ -70,15 +72,23 @@ def _signatures(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float):  # noqa: ANN201
-    """Arrow function: each set's row in each of its tiles."""
+    """Arrow function: each set's row in each of its tiles; copies met in one task give rows once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks, counts = common
+        seen: set[int] = set()
         for batch in batches:
-            if not batch.num_rows:
+            fresh = []
+            for i, x in enumerate(batch.column(0).to_pylist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh.append(i)
+            if not fresh:
                 continue
+            batch = batch.take(pa.array(fresh))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             words, starts = unpack_all(batch.column(1))
+            s0, s1 = (s.view(np.int64) for s in _signatures(words, starts))
             sizes = np.diff(starts)
             row = np.repeat(np.arange(len(ids)), sizes)
             at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
@@ -89,18 +99,19 @@ def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: floa
             position = np.arange(len(words)) - np.repeat(starts[:-1], sizes)
             n = np.repeat(sizes, sizes)
             reach = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            first = position < reach
-            plain = np.flatnonzero(first & ~hot)
+            plain = np.flatnonzero((position < reach) & ~hot)
             keys, owners, places = [words[plain].astype(np.int64)], [row[plain]], [position[plain]]
-            for i in np.flatnonzero(first & hot):  # the second shared word is at most one place further
-                j = np.arange(i + 1, starts[row[i]] + min(reach[i] + 1, n[i]))
+            i = np.flatnonzero((position < reach) & hot)
+            if len(i):  # the second shared word is at most one place further
+                many = np.minimum(reach[i] + 1, n[i]) - position[i] - 1
+                first = np.repeat(i, many)
+                second = first + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 with np.errstate(over="ignore"):
-                    both = (words[i] * np.uint64(0x9E3779B97F4A7C15) ^ words[j]) | ~LOW48
+                    both = (words[first] * np.uint64(0x9E3779B97F4A7C15) ^ words[second]) | ~LOW48
                 keys.append(both.astype(np.int64))
-                owners.append(np.full(len(j), row[i]))
-                places.append(np.full(len(j), position[i]))
+                owners.append(row[first])
+                places.append(position[first])
             key, own, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            s0, s1 = (s.view(np.int64) for s in _signatures(*_by_row(words, starts)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), pa.array(ids[own]), pa.array(sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(s0[own]), pa.array(s1[own])],
                 ["tile", "id", "n", "place", "s0", "s1"],
@@ -109,10 +120,6 @@ def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: floa
     return each
 
 
-def _by_row(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return words, starts
-
-
 def _passing(n, m, p, q, a0, b0, a1, b1, threshold: float) -> np.ndarray:  # noqa: ANN001
     """Pairs whose sizes, places and bitmaps allow the needed overlap (m >= n)."""
     need = needed_overlap(n, m, threshold)
@@ -136,16 +143,24 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
         ok = _passing(n[rows], n[j], place[rows], place[j], s0[rows], s0[j], s1[rows], s1[j], threshold)
         left.append(ids[rows[ok]])
         right.append(ids[j[ok]])
+    # in a large tile the smaller set has the word within n - overlap(n, n) + 1 places
+    lead = place < n - needed_overlap(n, n, threshold) + 1
+    share = (1 - threshold) / (1 + threshold)
     for start, stop in zip(edges[:-1][length > BLOCK], edges[1:][length > BLOCK]):
-        for i in range(start, stop, BLOCK):
-            k = min(i + BLOCK, stop)
-            top = i + np.searchsorted(n[i:stop], n[k - 1] / threshold + 1e-9, side="right")
-            for j in range(i, top, 16 * BLOCK):
-                e = min(j + 16 * BLOCK, top)
-                differ = np.bitwise_count(s0[i:k, None] ^ s0[None, j:e]) + np.bitwise_count(s1[i:k, None] ^ s1[None, j:e])
-                total = n[i:k, None] + n[None, j:e]
-                x, y = np.nonzero(differ <= (1 - threshold) / (1 + threshold) * total + 1e-9)
-                x, y = x + i, y + j
+        leads = np.flatnonzero(lead[start:stop]) + start
+        for o in range(0, len(leads), BLOCK):
+            own = leads[o : o + BLOCK]
+            most = int(n[own[-1]])
+            top = start + int(np.searchsorted(n[start:stop], most / threshold + 1e-9, side="right"))
+            a0, a1 = s0[own][:, None], s1[own][:, None]
+            for j in range(int(own[0]), top, WIDE):
+                e = min(j + WIDE, top)
+                differ = np.bitwise_count(a0 ^ s0[j:e])
+                differ += np.bitwise_count(a1 ^ s1[j:e])
+                hit = np.flatnonzero(differ <= np.uint8(min(255, int(share * (most + n[e - 1]) + 1e-9))))
+                if not len(hit):
+                    continue
+                x, y = own[hit // (e - j)], j + hit % (e - j)
                 x, y = x[x < y], y[x < y]
                 ok = _passing(n[x], n[y], place[x], place[y], s0[x], s0[y], s1[x], s1[y], threshold)
                 left.append(ids[x[ok]])
@@ -153,6 +168,7 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
+    a, b = a[a != b], b[a != b]  # copies of a set that came from different tasks
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
     return pairs[0], pairs[1]
 
@@ -208,31 +224,69 @@ def _verified(threshold: float):  # noqa: ANN202
     return each
 
 
+def _bitmap(pairs: DataFrame) -> bytes:
+    """The set hashes of the pairs, as a bitmap of fixed size."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.expr(f"cast(x & {(1 << BITS) - 1} as int)").alias("slot"))
+    table = ends.groupBy(F.expr("slot >> 3").alias("byte")).agg(F.bit_or(F.expr("cast(shiftleft(1, slot & 7) as int)")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    bitmap[table.column("byte").to_numpy()] = table.column("bits").to_numpy().astype(np.uint8)
+    return bitmap.tobytes()
+
+
+def _asked(wanted: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose set hash has its bit set, once per task."""
+    bits, seen = np.frombuffer(wanted, dtype=np.uint8), set()
+    for batch in batches:
+        x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << BITS) - 1)
+        hit = np.flatnonzero((bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+        fresh = []
+        for i, value in zip(hit.tolist(), batch.column(0).take(pa.array(hit)).to_pylist()):
+            if value not in seen:
+                seen.add(value)
+                fresh.append(i)
+        if fresh:
+            yield batch.take(pa.array(fresh))
+
+
 def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of set hashes whose sorted arrays really reach the threshold."""
-    left = sets.select(F.col("set_hash").alias("a"), F.col("words").alias("wa"))
-    right = sets.select(F.col("set_hash").alias("b"), F.col("words").alias("wb"))
+    """The pairs (a, b) of set hashes whose sorted arrays really reach the threshold.
+
+    Only the arrays of sets that occur in a pair are shuffled.
+    """
+    wanted = sets.sparkSession.sparkContext.broadcast(_bitmap(pairs))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _asked(wanted.value, batches)
+
+    arrays = sets.select("set_hash", "words").mapInArrow(asked, "set_hash long, words binary").dropDuplicates(["set_hash"])
+    left = arrays.select(F.col("set_hash").alias("a"), F.col("words").alias("wa"))
+    right = arrays.select(F.col("set_hash").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
     return both.mapInArrow(_verified(threshold), "a long, b long")
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of all pairs of different sets (set_hash, n_words, words; one row each) at or above the threshold.
+def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b), a < b, distinct: pairs of set hashes whose bitmaps leave room for the threshold.
 
-    Exact. Empty sets are similar to nothing. sets is read several times: persist it.
+    sets (set_hash, n_words, words) may repeat a set; it is read several times: persist it.
     """
-    spark = sets.sparkSession
     filled = sets.filter("n_words > 0")
-    common = common_words(filled, filled.count())
-    shared = spark.sparkContext.broadcast(common)
+    shared = sets.sparkSession.sparkContext.broadcast(common_words(filled, filled.count()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tile_rows(shared.value, threshold)(batches)
 
     tiles = filled.select("set_hash", "words").mapInArrow(rows, "tile long, id long, n int, place int, s0 long, s1 long")
-    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "n")
-    pairs = tiles.mapInArrow(_tile_pairs(threshold), "a long, b long").distinct()
-    return verify_pairs(pairs, sets, threshold)
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "n", "id")
+    return tiles.mapInArrow(_tile_pairs(threshold), "a long, b long").distinct()
+
+
+def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b), a < b, of all pairs of different sets (set_hash, n_words, words) at or above the threshold.
+
+    Exact. Empty sets are similar to nothing; a set may be repeated.
+    """
+    return verify_pairs(candidate_pairs(sets, threshold).persist(), sets, threshold)
 
 
 def duplicate_groups(questions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -249,8 +303,8 @@ def _grouped(questions: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     every = word_sets(questions.select("id", "stem", "options_json", "subparts_json"), "id").persist()
     members = every.select(F.col("id").alias("question_id"), "set_hash").join(residue, "question_id", "left_anti").persist()
     allowed = members.select("set_hash").distinct()
-    sets = every.groupBy("set_hash").agg(F.first("n_words").alias("n_words"), F.first("words").alias("words")).join(allowed, "set_hash", "left_semi").persist()
-    links = similar_sets(sets, threshold).persist()
+    pairs = candidate_pairs(every, threshold).join(allowed.withColumnRenamed("set_hash", "a"), "a", "left_semi").join(allowed.withColumnRenamed("set_hash", "b"), "b", "left_semi")
+    links = verify_pairs(pairs.persist(), every, threshold).persist()
     labels = component_labels(links)
     grouped = members.join(labels.withColumnRenamed("node", "set_hash"), "set_hash", "left")
     return grouped.select("question_id", F.coalesce("label", "set_hash").alias("label"), "set_hash"), links
