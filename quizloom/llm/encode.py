@@ -48,15 +48,29 @@ class Encoder:
             b = np.frombuffer(token, dtype=np.uint8)
             self.never[b[:-1], b[1:]] = False
         self.memory: dict[str, list[int]] = {}
-        # cuts are made before white space: certain if no token holds any byte that ends a
-        # character other than white space next to one that begins white space
-        begins = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]
-        ends = [b for b in range(256) if b not in begins[:10]]
-        self.certain = bool(self.never[np.ix_(ends, begins[:10])].all())
-
-    def fragments(self, text: str) -> list[str]:
-        """The text cut before every run of white space that begins with an ASCII character."""
-        return FRAGMENT.findall(text) if self.certain else [text]
+        # a cut before white space is certain after every byte that no token holds in front of it
+        space = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
+        joins = {b for b in range(256) if b not in space and not self.never[b, space].all()}
+        self.certain = not any(b < 128 for b in joins)
+        self.joins = frozenset(b & 63 for b in joins if 128 <= b < 192)
+
+    def fragments(self, text: str) -> Iterator[str]:
+        """The text cut at the certain places before runs of ASCII white space."""
+        if not self.certain:
+            yield text
+            return
+        held, joins = "", self.joins
+        for piece in FRAGMENT.findall(text):
+            last = piece[-1]
+            if last > "\x7f" and ord(last) & 63 in joins:  # the last byte of a character is 10xxxxxx
+                held += piece
+            elif held:
+                yield held + piece
+                held = ""
+            else:
+                yield piece
+        if held:
+            yield held
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
