@@ -2,7 +2,7 @@
 
 Exact copies (equal word sets) are folded first. The rest meet in size-banded tiles: the
 rows that share one of their rarest words, ordered by size, so that a row is compared only
-with rows of the sizes it can be similar to. Two hashed 64-bit bitmaps bound the overlap
+with rows of the sizes it can be similar to. A hashed bitmap of 256 bits bounds the overlap
 from above (no more words can be shared than the differing bits leave); only pairs that
 pass are intersected exactly on their sorted arrays. Every step is exact: the words within
 the first n - ceil(t n) + 1 in rarity order of two similar sets always meet, and a tile of a
@@ -57,18 +57,21 @@ def common_words(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, n
     return words[order], np.arange(len(words))[order].astype(np.int64), counts[order]
 
 
-def _signatures(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit bitmaps of each row's words."""
+SIGNATURE = ("s0", "s1", "s2", "s3")
+
+
+def _signatures(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Four 64-bit bitmaps of each row's words: word w sets bit w mod 256 of the 256."""
     bits = np.uint64(1) << (words & np.uint64(63))
-    half = (words >> np.uint64(6)) & np.uint64(1)
+    quarter = (words >> np.uint64(6)) & np.uint64(3)
     zero = np.uint64(0)
     out = []
-    for h in (0, 1):
-        own = np.append(np.where(half == h, bits, zero), zero)
+    for q in range(4):
+        own = np.append(np.where(quarter == q, bits, zero), zero)
         sig = np.bitwise_or.reduceat(own, starts[:-1]) if len(starts) > 1 else np.zeros(0, np.uint64)
         sig[starts[:-1] == starts[1:]] = 0
         out.append(sig.astype(np.uint64))
-    return out[0], out[1]
+    return out
 
 
 def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float):  # noqa: ANN201
@@ -88,7 +91,7 @@ def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: floa
             batch = batch.take(pa.array(fresh))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             words, starts = unpack_all(batch.column(1))
-            s0, s1 = (s.view(np.int64) for s in _signatures(words, starts))
+            signature = [s.view(np.int64) for s in _signatures(words, starts)]
             sizes = np.diff(starts)
             row = np.repeat(np.arange(len(ids)), sizes)
             at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
@@ -113,23 +116,24 @@ def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: floa
                 places.append(position[first])
             key, own, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(ids[own]), pa.array(sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(s0[own]), pa.array(s1[own])],
-                ["tile", "id", "n", "place", "s0", "s1"],
+                [pa.array(key), pa.array(ids[own]), pa.array(sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(s[own]) for s in signature]],
+                ["tile", "id", "n", "place", *SIGNATURE],
             )
 
     return each
 
 
-def _passing(n, m, p, q, a0, b0, a1, b1, threshold: float) -> np.ndarray:  # noqa: ANN001
-    """Pairs whose sizes, places and bitmaps allow the needed overlap (m >= n)."""
-    need = needed_overlap(n, m, threshold)
-    differ = np.bitwise_count(a0 ^ b0).astype(np.int64) + np.bitwise_count(a1 ^ b1)
-    return (n >= threshold * m - 1e-9) & (differ <= n + m - 2 * need) & (np.minimum(n - p, m - q) >= need)
+def _passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np.ndarray, signature: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Pairs of rows whose sizes, places and bitmaps allow the needed overlap (row y is not smaller)."""
+    need = needed_overlap(n[x], n[y], threshold)
+    differ = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in signature)
+    return (n[x] >= threshold * n[y] - 1e-9) & (differ <= n[x] + n[y] - 2 * need) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= need)
 
 
-def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, s0: np.ndarray, s1: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, signature: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of whole tiles; the rows are sorted by tile and size."""
     left, right = [], []
+    s0, s1 = signature[:2]
     edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     length = np.diff(edges)
     small = np.repeat(length <= BLOCK, length)
@@ -140,7 +144,7 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
         if not len(rows):
             break
         j = rows + shift
-        ok = _passing(n[rows], n[j], place[rows], place[j], s0[rows], s0[j], s1[rows], s1[j], threshold)
+        ok = _passing(rows, j, n, place, signature, threshold)
         left.append(ids[rows[ok]])
         right.append(ids[j[ok]])
     # in a large tile the smaller set has the word within n - overlap(n, n) + 1 places
@@ -162,7 +166,7 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
                     continue
                 x, y = own[hit // (e - j)], j + hit % (e - j)
                 x, y = x[x < y], y[x < y]
-                ok = _passing(n[x], n[y], place[x], place[y], s0[x], s0[y], s1[x], s1[y], threshold)
+                ok = _passing(x, y, n, place, signature, threshold)
                 left.append(ids[x[ok]])
                 right.append(ids[y[ok]])
     if not left:
@@ -182,11 +186,11 @@ def _tile_pairs(threshold: float, rows_at_once: int = 400_000):  # noqa: ANN202
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             table = pa.Table.from_batches(held)
-            key, ids, n, place, s0, s1 = (table.column(i).to_numpy() for i in range(6))
+            key, ids, n, place, *signature = (table.column(i).to_numpy() for i in range(8))
             cut = len(key) if last else int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
             held = table.slice(cut).combine_chunks().to_batches() if cut < len(key) else []
             if cut:
-                a, b = _compare(key[:cut], ids[:cut], n[:cut].astype(np.int64), place[:cut].astype(np.int64), s0[:cut].view(np.uint64), s1[:cut].view(np.uint64), threshold)
+                a, b = _compare(key[:cut], ids[:cut], n[:cut].astype(np.int64), place[:cut].astype(np.int64), [s[:cut].view(np.uint64) for s in signature], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         count = 0
@@ -276,7 +280,7 @@ def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tile_rows(shared.value, threshold)(batches)
 
-    tiles = filled.select("set_hash", "words").mapInArrow(rows, "tile long, id long, n int, place int, s0 long, s1 long")
+    tiles = filled.select("set_hash", "words").mapInArrow(rows, "tile long, id long, n int, place int, s0 long, s1 long, s2 long, s3 long")
     tiles = tiles.repartition("tile").sortWithinPartitions("tile", "n", "id")
     return tiles.mapInArrow(_tile_pairs(threshold), "a long, b long").distinct()
 
