@@ -39,6 +39,7 @@ FILLER_WORDS = frozenset(
     reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa
     qui officia deserunt mollit anim id est laborum vitae mauris porta urna ligula cursus nunc eget ac arcu vel massa at""".split()
 )
+FILLER = r"\b(?:lorem|ipsum|dolor|amet|consectetur|elit|tempor|aliqua|quis|nulla|velit|mauris|vitae)\b"
 # Messages of sites and programs, notices, and provisional text.
 SPEAKS = re.compile(
     r"\b(?:[45]\d\d|errore|error|exception|traceback|forbidden|not found|non trovat[ao]|bad gateway|timeout|unavailable|accesso|access|login|autenticazione|"
@@ -49,7 +50,8 @@ SPEAKS = re.compile(
 )
 CODE = re.compile(r"\b[0-9a-f]{6,}\b|\d+", re.I)
 STATUS = re.compile(r"(?:\W|<\w+>|\d\.\s)*(?:[45]\d\d\b|errore\b|error\b)", re.I)
-SHORT_PAGE = 30
+#: Characters up to which a stem is a short page.
+SHORT_PAGE = 200
 BITS = 24
 BOS, EOS = "\x02", "\x03"
 
@@ -123,7 +125,7 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, text, (b2, b1, a1, a2) in found:
                 hb = hashes.of([b2, b1, a1, a2])
                 add(qid, kind, text, _signed([_mix(hb[1:2], hb[2:3], 1)[0], _mix(hb[0:1], hb[1:2], 2)[0], _mix(hb[2:3], hb[3:4], 3)[0]]))
-            if len(words) <= SHORT_PAGE:
+            if len(stem) <= SHORT_PAGE:
                 h = hashes.of(["#" if w[0].isdigit() else w for w in words])
                 pairs = np.unique(_mix(h[:-1], h[1:], 4)) if len(h) > 1 else h
                 mask = re.sub(r"[^\w#]+", " ", CODE.sub("#", _clean(stem).lower())).strip(" #")
@@ -143,13 +145,14 @@ def _frames(wanted: bytes):  # noqa: ANN202
         hashes, bits = Hashes(), np.frombuffer(wanted, dtype=np.uint8)
         mark = np.uint64(hashes["\x00"])
         for batch in batches:
-            stems = [_words(s) for s in batch.column(0).to_pylist() if s]
+            texts = [s for s in batch.column(0).to_pylist() if s]
+            stems = [_words(s) for s in texts]
             if not stems:
                 continue
             sizes = np.array([len(s) for s in stems])
             h = hashes.of([w for s in stems for w in s])
             row = np.repeat(np.arange(len(stems)), sizes)
-            long = np.repeat(sizes - 4 > SHORT_PAGE, sizes)
+            long = np.repeat([len(s) > SHORT_PAGE for s in texts], sizes)
             at = np.arange(2, len(h) - 2)
             ends = np.cumsum(sizes)
             inside = (at >= (ends - sizes)[row[at]] + 2) & (at < ends[row[at]] - 2) & (h[at] != mark)
@@ -178,8 +181,8 @@ def _wanted_bits(signs: DataFrame) -> bytes:
 def template_residue(questions: DataFrame, id_col: str = "id", text_col: str = "stem") -> DataFrame:
     """(question_id) of the rows whose text is, or contains, template residue, filler or a site's message."""
     stems = questions.select(F.col(id_col).alias("question_id"), F.col(text_col).alias("stem"))
-    # word counts decide cheaply which stems are short pages; filler is looked for in every stem
-    suspect = F.col("stem").rlike(SUSPECT) | (F.length("stem") < 12 * SHORT_PAGE) | F.lower("stem").rlike(r"\b(?:lorem|ipsum|dolor|amet|elit|quis)\b.{0,80}\b(?:lorem|ipsum|dolor|amet|elit|quis)\b")
+    # only stems with a marker or a filler word, and short pages, can be residue
+    suspect = F.col("stem").rlike(SUSPECT) | (F.length("stem") <= SHORT_PAGE) | F.lower("stem").rlike(FILLER)
     signs = stems.filter(suspect).mapInArrow(_signs, "question_id string, kind string, sign string, frames array<long>").persist()
     wanted = questions.sparkSession.sparkContext.broadcast(_wanted_bits(signs))
 

@@ -150,21 +150,25 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
     # in a large tile the smaller set has the word within n - overlap(n, n) + 1 places
     lead = place < n - needed_overlap(n, n, threshold) + 1
     share = (1 - threshold) / (1 + threshold)
+    # and the larger one has it at a place that leaves room for sets of up to this size
+    room = np.floor((1 + threshold) / threshold * (n - place) + 1e-9) - n
     for start, stop in zip(edges[:-1][length > BLOCK], edges[1:][length > BLOCK]):
         leads = np.flatnonzero(lead[start:stop]) + start
         for o in range(0, len(leads), BLOCK):
             own = leads[o : o + BLOCK]
-            most = int(n[own[-1]])
+            least, most = n[own[0]], n[own[-1]]
             top = start + int(np.searchsorted(n[start:stop], most / threshold + 1e-9, side="right"))
+            rest = np.flatnonzero(room[own[0] : top] >= least) + own[0]
             a0, a1 = s0[own][:, None], s1[own][:, None]
-            for j in range(int(own[0]), top, WIDE):
-                e = min(j + WIDE, top)
-                differ = np.bitwise_count(a0 ^ s0[j:e])
-                differ += np.bitwise_count(a1 ^ s1[j:e])
-                hit = np.flatnonzero(differ <= np.uint8(min(255, int(share * (most + n[e - 1]) + 1e-9))))
+            b0, b1 = s0[rest], s1[rest]
+            for j in range(0, len(rest), WIDE):
+                wide = rest[j : j + WIDE]
+                differ = np.bitwise_count(a0 ^ b0[j : j + WIDE])
+                differ += np.bitwise_count(a1 ^ b1[j : j + WIDE])
+                hit = np.flatnonzero(differ <= np.uint8(min(255, int(share * (most + n[wide[-1]]) + 1e-9))))
                 if not len(hit):
                     continue
-                x, y = own[hit // (e - j)], j + hit % (e - j)
+                x, y = own[hit // len(wide)], wide[hit % len(wide)]
                 x, y = x[x < y], y[x < y]
                 ok = _passing(x, y, n, place, signature, threshold)
                 left.append(ids[x[ok]])

@@ -9,6 +9,7 @@ so that a set is a short binary string and no dictionary of the corpus is needed
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ from quizloom.llm.glyphs import Unifier, option_texts, subpart_texts, unified_sq
 
 LOW48 = np.uint64((1 << 48) - 1)
 WORD = re.compile(r"[a-z0-9]+")
+#: A lower-case word of ordinary Latin text, accents included, and characters that need DuckDB.
+LATIN_WORD = re.compile(r"[a-z0-9\u00df-\u00ff]+")
+UNUSUAL = re.compile(r"[^\x00-\x7f\u00c0-\u00ff\u2010-\u2027]")
 
 
 class Hashes(dict):
@@ -41,6 +45,21 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+class LatinHashes(dict):
+    """Word with accents -> hashes of the words left without them, runs of digits only left out."""
+
+    def __init__(self, hashes: Hashes) -> None:
+        super().__init__()
+        self.hashes = hashes
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= self.hashes.most:
+            self.clear()
+        bare = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        own = self[word] = [self.hashes[w] for w in WORD.findall(bare) if not w.isdigit()]
+        return own
+
+
 def pack(words: np.ndarray) -> bytes:
     """Sorted 48-bit numbers as 6 bytes each."""
     return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -79,20 +98,25 @@ def word_sets(df: DataFrame, key: str) -> DataFrame:
         import xxhash
 
         unifier, hashes = Unifier(), Hashes()
-        # the letters of the consistent form, without accents; DuckDB leaves Latin text as it is
-        select = f"k, lower(strip_accents({unified_sql('t')})) AS t"
+        latin = LatinHashes(hashes)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = unifier.run(select, batch)
+            texts = batch.column(1).to_pylist()
+            odd = [i for i, t in enumerate(texts) if UNUSUAL.search(t)]
+            if odd:  # only texts with other than plain Latin characters go through the mapping
+                mapped = unifier.run(f"lower(strip_accents({unified_sql('t')})) AS t", batch.select(["t"]).take(pa.array(odd))).column("t").to_pylist()
+                for i, t in zip(odd, mapped):
+                    texts[i] = t
             sets, packed, counts = [], [], []
-            for text in table.column("t").to_pylist():
-                words = [w for w in set(WORD.findall(text)) if not w.isdigit()]
-                data = pack(np.unique(hashes.of(words) & LOW48))
+            for text in texts:
+                found = set()
+                for word in set(LATIN_WORD.findall(text.lower())):
+                    found.update(latin[word])
+                data = pack(np.unique(np.fromiter(found, dtype=np.uint64, count=len(found)) & LOW48))
                 packed.append(data)
                 counts.append(len(data) // 6)
                 sets.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
-            keys = table.column("k").combine_chunks()
-            yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.int64()), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["k", "set_hash", "n_words", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["k", "set_hash", "n_words", "words"])
 
     return short.mapInArrow(each, f"k {kind}, set_hash long, n_words int, words binary").withColumnRenamed("k", key)
