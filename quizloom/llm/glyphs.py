@@ -165,3 +165,9 @@ def found_forms(questions: DataFrame) -> DataFrame:
     flags = unify_columns(texts, ["stem", "options_json"], ["question_id"])
     fields = F.array(*[F.when(F.col(f"{c}_changed_form"), F.lit(c)) for c in ("stem", "options_json")])
     return flags.select("question_id", F.explode(F.array_compact(fields)).alias("field"))
+
+
+def unified_questions(questions: DataFrame) -> DataFrame:
+    """(question_id, stem, options): every stem and its decoded option texts, one to a line, in the consistent form."""
+    texts = questions.select(F.col("id").alias("question_id"), "stem", option_texts(F.col("options_json")).alias("options"))
+    return unify_columns(texts, ["stem", "options"], ["question_id"]).select("question_id", "stem", "options")

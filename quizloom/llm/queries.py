@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quizloom.llm import glyphs, residue, tiles
+from quizloom.llm import encode, forest, glyphs, mixture, pairs, residue, scans, stuffing, survivors, tiles
 from quizloom.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.found_noise(read_table(spark, folder, "questions"))
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.scan_noise(read_table(spark, folder, "questions")).select("question_id", "field", "text")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(read_table(spark, folder, "question_corrections"), read_table(spark, folder, "questions"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return tiles.duplicate_pairs(read_table(spark, folder, "questions"))
 
@@ -18,6 +30,18 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return tiles.linked_questions(read_table(spark, folder, "questions"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.found_survivors(read_table(spark, folder, "questions"))
+
+
+def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.survivors(read_table(spark, folder, "questions"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.repeated_records(read_table(spark, folder, "incoming_questions"), read_table(spark, folder, "questions"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.template_residue(read_table(spark, folder, "questions"))
 
@@ -26,12 +50,45 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return glyphs.found_forms(read_table(spark, folder, "questions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found,
-    "p3_groups": p3_groups,
-    "p6_found": p6_found,
-    "p7_found": p7_found,
-}
+def p7_unified(spark: SparkSession, folder: str) -> DataFrame:
+    return glyphs.unified_questions(read_table(spark, folder, "questions"))
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encode_texts(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mixed(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))
+
 
-#: SQL for DuckDB; the operators without an entry are tested against brute force.
-ORACLES: dict[str, str] = {}
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.reached_shares(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_pages(read_table(spark, folder, "documents"))
+
+
+_ALL = (
+    p1_found, p1_repaired, p2_found, p3_found, p3_groups, p4_found, p4_survivors, p5_found, p6_found,
+    p7_found, p7_unified, p8_ids, p9_mix, p9_shares, p10_found,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+#: SQL for DuckDB where it can express an operator; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "p4_found": """
+        WITH q AS (
+          SELECT id, dedupe_fingerprint AS fp, is_discarded, confidence, occurrences_count, updated_at,
+            CASE WHEN json_valid(source_files_json) AND json_type(source_files_json) = 'ARRAY'
+                 THEN len(list_distinct(from_json(source_files_json, '["VARCHAR"]'))) ELSE 0 END AS files
+          FROM questions WHERE dedupe_fingerprint IS NOT NULL),
+        r AS (
+          SELECT fp, id, count(*) OVER (PARTITION BY fp) AS members,
+            row_number() OVER (PARTITION BY fp ORDER BY is_discarded, confidence DESC NULLS LAST, occurrences_count DESC NULLS LAST, updated_at DESC NULLS LAST, id) AS k,
+            row_number() OVER (PARTITION BY fp ORDER BY files DESC, id) AS f
+          FROM q)
+        SELECT fp AS dedupe_fingerprint, max(CASE WHEN k = 1 THEN id END) AS keeper_id, max(CASE WHEN f = 1 THEN id END) AS files_from_id
+        FROM r WHERE members > 1 GROUP BY fp""",
+}
