@@ -1,6 +1,8 @@
-"""All queries of the core and their SQL."""
+"""All queries of the core and their SQL, with every module that registers some imported."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quizloom.plans import bank, ingest, practice, reports, review, text  # noqa: F401
+from quizloom.plans.queryset import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
