@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.llm.residue import template_residue
-from quizloom.llm.tiles import THRESHOLD, verify_pairs
+from quizloom.llm.tiles import THRESHOLD, bounded_pairs, verify_pairs
 from quizloom.llm.words import unpack_all, word_sets
 from quizloom.sources.tables import use_checkpoint_dir
 
@@ -51,16 +51,15 @@ def _seeds() -> np.ndarray:
 
 def labels(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Labels (rows x TREES) of sets given as one array of words; no set may be empty."""
-    minima = []
+    seeds = _seeds()[None, :]
+    least = np.empty((len(starts) - 1, 4 * seeds.shape[1]), dtype=np.uint16)
     with np.errstate(over="ignore"):
-        for seed in _seeds():
-            x = (words ^ (seed >> np.uint64(7))) * seed
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(29)
-            quarters = x.view(np.uint16).reshape(-1, 4)  # four hashes of 16 bits from one of 64
-            minima.append(np.minimum.reduceat(quarters, starts[:-1], axis=0))
-        least = np.concatenate(minima, axis=1).astype(np.uint64)
-        digest = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DIGEST)
+        for i, (start, stop) in enumerate(zip(starts[:-1], starts[1:])):
+            x = words[start:stop, None] * seeds
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            least[i] = x.view(np.uint16).min(axis=0)  # four hashes of 16 bits from one of 64
+        digest = (least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DIGEST)
     out = np.zeros((len(starts) - 1, TREES), dtype=np.uint64)
     for t in range(TREES):
         out[:, t] = np.uint64(t)
@@ -135,7 +134,7 @@ class HashForest:
         found = None
         for d in depths(threshold, target):
             pairs = self.candidates(waiting, d).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("asked")).persist()
-            links = verify_pairs(pairs.select("a", "b").distinct(), arrays, threshold)
+            links = verify_pairs(bounded_pairs(pairs.select("a", "b").distinct(), arrays, threshold).persist(), arrays, threshold)
             links = pairs.join(links, ["a", "b"], "left_semi").select(F.col("asked").alias("a"), F.expr("if(a = asked, b, a)").alias("b")).checkpoint()
             found = links if found is None else found.union(links)
             waiting = waiting.join(links.select(F.col("a").alias("set_hash")).distinct(), "set_hash", "left_anti")

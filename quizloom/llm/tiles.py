@@ -256,6 +256,30 @@ def _asked(wanted: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield batch.take(pa.array(fresh))
 
 
+def _signed(wanted: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _asked(wanted, batches):
+        words, starts = unpack_all(batch.column(1))
+        columns = [pa.array(s.view(np.int64)) for s in _signatures(words, starts)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts).astype(np.int32)), *columns], ["set_hash", "n", *SIGNATURE])
+
+
+def bounded_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for the threshold: a tenth of what the arrays would shuffle."""
+    pairs = pairs.persist()
+    wanted = sets.sparkSession.sparkContext.broadcast(_bitmap(pairs))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _signed(wanted.value, batches)
+
+    rows = sets.select("set_hash", "words").mapInArrow(signed, "set_hash long, n int, s0 long, s1 long, s2 long, s3 long").dropDuplicates(["set_hash"])
+    side = lambda k: rows.select(F.col("set_hash").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", *SIGNATURE)])
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SIGNATURE), F.lit(0))
+    total = F.col("a_n") + F.col("b_n")
+    room = total - 2 * F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+    sized = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter((differ <= room) & sized).select("a", "b")
+
+
 def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of set hashes whose sorted arrays really reach the threshold.
 
