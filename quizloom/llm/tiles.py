@@ -133,7 +133,6 @@ def _passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np.ndarray, sig
 def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, signature: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of whole tiles; the rows are sorted by tile and size."""
     left, right = [], []
-    s0, s1 = signature[:2]
     edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     length = np.diff(edges)
     small = np.repeat(length <= BLOCK, length)
@@ -159,12 +158,12 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
             least, most = n[own[0]], n[own[-1]]
             top = start + int(np.searchsorted(n[start:stop], most / threshold + 1e-9, side="right"))
             rest = np.flatnonzero(room[own[0] : top] >= least) + own[0]
-            a0, a1 = s0[own][:, None], s1[own][:, None]
-            b0, b1 = s0[rest], s1[rest]
+            mine, theirs = [s[own][:, None] for s in signature], [s[rest] for s in signature]
             for j in range(0, len(rest), WIDE):
                 wide = rest[j : j + WIDE]
-                differ = np.bitwise_count(a0 ^ b0[j : j + WIDE])
-                differ += np.bitwise_count(a1 ^ b1[j : j + WIDE])
+                differ = np.bitwise_count(mine[0] ^ theirs[0][j : j + WIDE])
+                for a, b in zip(mine[1:], theirs[1:]):
+                    differ += np.bitwise_count(a ^ b[j : j + WIDE])
                 hit = np.flatnonzero(differ <= np.uint8(min(255, int(share * (most + n[wide[-1]]) + 1e-9))))
                 if not len(hit):
                     continue

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,15 +109,17 @@ def word_sets(df: DataFrame, key: str) -> DataFrame:
                 mapped = unifier.run(f"lower(strip_accents({unified_sql('t')})) AS t", batch.select(["t"]).take(pa.array(odd))).column("t").to_pylist()
                 for i, t in zip(odd, mapped):
                     texts[i] = t
-            sets, packed, counts = [], [], []
-            for text in texts:
-                found = set()
-                for word in set(LATIN_WORD.findall(text.lower())):
-                    found.update(latin[word])
-                data = pack(np.unique(np.fromiter(found, dtype=np.uint64, count=len(found)) & LOW48))
-                packed.append(data)
-                counts.append(len(data) // 6)
-                sets.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(counts, pa.int32()), pa.array(packed, pa.binary())], ["k", "set_hash", "n_words", "words"])
+            found = [list(chain.from_iterable(map(latin.__getitem__, LATIN_WORD.findall(t.lower())))) for t in texts]
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            words = np.fromiter(chain.from_iterable(found), dtype=np.uint64, count=int(sizes.sum())) & LOW48
+            row = np.repeat(np.arange(len(found)), sizes)
+            order = np.lexsort((words, row))
+            words, row = words[order], row[order]
+            first = np.r_[True, (words[1:] != words[:-1]) | (row[1:] != row[:-1])][: len(words)]
+            words, counts = words[first], np.bincount(row[first], minlength=len(found))
+            data, ends = pack(words), np.concatenate([[0], np.cumsum(counts)]) * 6
+            packed = [data[i:j] for i, j in zip(ends[:-1], ends[1:])]
+            sets = [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64()), pa.array(counts.astype(np.int32)), pa.array(packed, pa.binary())], ["k", "set_hash", "n_words", "words"])
 
     return short.mapInArrow(each, f"k {kind}, set_hash long, n_words int, words binary").withColumnRenamed("k", key)
