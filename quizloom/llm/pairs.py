@@ -66,6 +66,7 @@ REFUSALS = re.compile(
 )
 
 WORD = re.compile(r"\w+")
+BRACKET = re.compile(r"[()\[\]{}«»“”]")
 LETTER = re.compile(r"(?<![\w(])(?:[a-hA-H]|\d)[.):](?=\s)")
 MARKS = ".!?…"
 #: Ends per occurrence of a context from which an unmarked end counts as complete.
@@ -137,14 +138,32 @@ class CopyModel:
         return len(rest) >= 2 and len(rest) >= 0.4 * len(new) and sum(rest) <= 0.12 * len(rest)
 
 
+CLOSES = dict(zip(")]}»”", "([{«“"))
+
+
+def brackets_open(text: str) -> bool:
+    """A bracket is still open at the end, or the end is a list mark such as 2) without anything after it.
+
+    A closing mark that no bracket waits for is a list mark and closes nothing.
+    """
+    waiting, mark = [], False
+    for c in BRACKET.findall(text):
+        mark = False
+        if c in CLOSES.values():
+            waiting.append(c)
+        elif CLOSES[c] in waiting:
+            waiting.reverse()
+            waiting.remove(CLOSES[c])
+            waiting.reverse()
+        else:
+            mark = True
+    return bool(waiting) or mark and bool(re.search(r"(?:^|[\s;,])(?:\d{1,2}|[a-zA-Z])\)$", text))
+
+
 def open_end(text: str) -> bool | None:
     """True: breaks off by its marks. False: ends with a mark. None: ends in a word without mark."""
     text = re.sub(r"(?:\.\.\.|…)$", "", re.sub(r"\s+", " ", TAG.sub(" ", text)).strip()).rstrip()
-    # list marks such as 1) or a) open no bracket and close none
-    bare = re.sub(r"(?<![\w(])(?:\d{1,2}|[a-zA-Z])\)", " ", text)
-    if any(bare.count(o) > bare.count(c) for o, c in ("()", "[]", "{}", "«»", "“”")):
-        return True
-    if re.search(r"(?:[,;:\-–—(\[{«“/=]|(?<![\w(])(?:\d{1,2}|[a-zA-Z])\))$", text):
+    if brackets_open(text) or re.search(r"[,;:\-–—(\[{«“/=]$", text):
         return True
     if re.search(r"[.!?…][\"'”»)\]]*$", text) or text[-1:] in ")]}»”\"'":
         return False
