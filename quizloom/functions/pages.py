@@ -23,7 +23,7 @@ SPLITS = (
 def quality(text: Column) -> Column:
     """0 to 1 from the text's length without white space and its number of question marks; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    size = F.length(F.regexp_replace(text, r"[\s  -   　]+", ""))
+    size = F.length(F.regexp_replace(text, r"[\s\x0b\u00a0\u2000-\u200a\u202f\u205f\u3000]+", ""))
     marks = F.regexp_count(text, F.lit(MARKERS))
     score = TEXT_WEIGHT * F.least(F.lit(1.0), size / TEXT_FULL) + MARK_WEIGHT * F.least(F.lit(1.0), marks / MARK_FULL)
     return F.round(score + 1e-9, 3)  # halves that binary fractions put just below go up
@@ -31,7 +31,7 @@ def quality(text: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """The trimmed lines that are neither blank, page footers nor part of the exam form."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", ""))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^[\s\x0b\u00a0]+|[\s\x0b\u00a0]+$", ""))
 
     def kept(x: Column) -> Column:
         low = F.lower(x)

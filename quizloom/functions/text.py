@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-SPACES = "              　"
+SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 RAISED = "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉ªºµ"
 RAISED_AS = "01234567890123456789aoμ"
 COMPAT, COMPAT_AS = FULL + SPACES + RAISED, HALF + " " * len(SPACES) + RAISED_AS
 LONGER = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "...", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "№": "No", "™": "TM"}
 ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüçñýÿ"
 BARE = "aaaaaaeeeeiiiiooooouuuucnyy"
-_GRAVE, _ACUTE, _HAT, _TILDE, _DOTS = "̀", "́", "̂", "̃", "̈"
+_GRAVE, _ACUTE, _HAT, _TILDE, _DOTS = "\u0300", "\u0301", "\u0302", "\u0303", "\u0308"
 COMPOSED = {
     base + mark: whole
     for mark, bases, wholes in (
@@ -28,7 +28,7 @@ COMPOSED = {
     )
     for base, whole in zip(bases, wholes)
 }
-WHITE = r"[\s\x1c-\x1f\x85  ]+"
+WHITE = r"[\s\x1c-\x1f\x85\u2028\u2029]+"
 
 
 def _compat(c: Column) -> Column:
@@ -45,7 +45,7 @@ def _compat(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Compatibility forms mapped, U+FFFD dropped, white space collapsed, none before ,.;:!? - null counts as empty."""
     c = _compat(F.coalesce(c, F.lit("")))
-    c = F.regexp_replace(F.replace(c, F.lit("�"), F.lit("")), WHITE, " ")
+    c = F.regexp_replace(F.replace(c, F.lit("\ufffd"), F.lit("")), WHITE, " ")
     return F.trim(F.regexp_replace(c, r" +([,.;:!?])", "$1"))
 
 
