@@ -25,6 +25,11 @@ WORD = re.compile(r"[a-z0-9]+")
 #: A lower-case word of ordinary Latin text, accents included, and characters that need DuckDB.
 LATIN_WORD = re.compile(r"[a-z0-9\u00df-\u00ff]+")
 UNUSUAL = re.compile(r"[^\x00-\x7f\u00c0-\u00ff\u2010-\u2027]")
+#: Characters that the consistent form changes in a way that changes words; a Greek letter next to a space is a symbol.
+CHANGING = re.compile(
+    r"[\u0100-\u036f\u0400-\u052f\u1e00-\u1eff\u200b-\u200f\u2060\ufb00-\ufb06\ufeff-\uff5e\u03bf\u039f]"
+    r"|[A-Za-z0-9\u0370-\u03ff][\u0370-\u03ff]|[\u0370-\u03ff][A-Za-z\u0370-\u03ff]"
+)
 
 
 class Hashes(dict):
@@ -56,7 +61,10 @@ class LatinHashes(dict):
     def __missing__(self, word: str) -> list[int]:
         if len(self) >= self.hashes.most:
             self.clear()
-        bare = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        if word.isascii():
+            own = self[word] = [] if word.isdigit() else [self.hashes.hash(word.encode())]
+            return own
+        bare = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
         own = self[word] = [self.hashes[w] for w in WORD.findall(bare) if not w.isdigit()]
         return own
 
@@ -100,23 +108,19 @@ def word_sets(df: DataFrame, key: str) -> DataFrame:
 
         unifier, hashes = Unifier(), Hashes()
         latin = LatinHashes(hashes)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, 1 << 16) for b in batches for i in range(0, b.num_rows, 1 << 16)):
             texts = batch.column(1).to_pylist()
-            odd = [i for i, t in enumerate(texts) if UNUSUAL.search(t)]
-            if odd:  # only texts with other than plain Latin characters go through the mapping
+            odd = [i for i, t in enumerate(texts) if CHANGING.search(t)]
+            if odd:  # only texts with characters that may change go through the mapping
                 mapped = unifier.run(f"lower(strip_accents({unified_sql('t')})) AS t", batch.select(["t"]).take(pa.array(odd))).column("t").to_pylist()
                 for i, t in zip(odd, mapped):
                     texts[i] = t
             found = [list(chain.from_iterable(map(latin.__getitem__, LATIN_WORD.findall(t.lower())))) for t in texts]
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             words = np.fromiter(chain.from_iterable(found), dtype=np.uint64, count=int(sizes.sum())) & LOW48
-            row = np.repeat(np.arange(len(found)), sizes)
-            order = np.lexsort((words, row))
-            words, row = words[order], row[order]
-            first = np.r_[True, (words[1:] != words[:-1]) | (row[1:] != row[:-1])][: len(words)]
-            words, counts = words[first], np.bincount(row[first], minlength=len(found))
+            row = np.repeat(np.arange(len(found), dtype=np.uint64), sizes)
+            both = np.unique((row << np.uint64(48)) | words)  # sorted by row, then word
+            words, counts = both & LOW48, np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=len(found))
             data, ends = pack(words), np.concatenate([[0], np.cumsum(counts)]) * 6
             packed = [data[i:j] for i, j in zip(ends[:-1], ends[1:])]
             sets = [xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in packed]
