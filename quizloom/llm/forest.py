@@ -25,7 +25,7 @@ from quizloom.llm.tiles import THRESHOLD, bounded_pairs, verify_pairs
 from quizloom.llm.words import unpack_all, word_sets
 from quizloom.sources.tables import use_checkpoint_dir
 
-TREES, DEPTH, DIGEST = 32, 6, 9
+TREES, DEPTH, DIGEST = 32, 6, 6
 #: Bits of the bitmap of a batch's prefixes, which thins the runs before any shuffle: 8 MB.
 BITS = 26
 RECALL = 0.98
@@ -95,13 +95,13 @@ class HashForest:
         self.spark, self.folder = spark, folder
 
     def append(self, sets: DataFrame) -> None:
-        """Adds the labels of sets as a run: each task sorts its own, nothing is shuffled; sorted labels are kept as differences."""
-        entries(sets).sortWithinPartitions("label").write.mode("append").option("parquet.writer.version", "v2").parquet(self.folder)
+        """Adds the labels of sets as a run: each task sorts its own, nothing is shuffled; sorted labels compress well."""
+        entries(sets).sortWithinPartitions("label").write.mode("append").option("compression", "zstd").parquet(self.folder)
 
     def merge(self, into: str, files: int = 32) -> HashForest:
         """Merges all runs into one, range-partitioned and sorted, in another folder; an entry comes once."""
         merged = self.spark.read.parquet(self.folder).dropDuplicates(["label", "set_hash"])
-        merged.repartitionByRange(files, "label").sortWithinPartitions("label").write.mode("overwrite").option("parquet.writer.version", "v2").parquet(into)
+        merged.repartitionByRange(files, "label").sortWithinPartitions("label").write.mode("overwrite").option("compression", "zstd").parquet(into)
         return HashForest(self.spark, into)
 
     def runs(self) -> DataFrame:

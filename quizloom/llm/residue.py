@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ VARIABLE = r"\{\{[^{}]*\}\}|[$#]\{[^{}]*\}|\{%[^%]*%\}|<%[^%]*%>|%%\w+%%|(?<!\w)
 DEFAULT = r"\[object Object\]|(?<!\w)(?:undefined|NaN|TODO|FIXME|TBD|XXX)(?!\w)"
 ARGUMENT = r"<[^<>\n]{2,60}>|_{3,}"
 MARKER = re.compile(f"(?P<v>{VARIABLE})|(?P<d>{DEFAULT})|(?P<a>{ARGUMENT})")
-SUSPECT = "[{}<>\\[\\]%]|__|undefined|NaN|TODO|FIXME|TBD|XXX"
+SUSPECT = ("{", "}", "<", ">", "[", "]", "%", "__", "undefined", "NaN", "TODO", "FIXME", "TBD", "XXX")
 TAG = re.compile(r"</?(?:h[1-6]|p|hr|br|div|span|b|i|em|strong|body|html|title|center)\b[^<>]*>", re.I)
 WORD = re.compile(r"\w+")
 
@@ -39,7 +40,7 @@ FILLER_WORDS = frozenset(
     reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa
     qui officia deserunt mollit anim id est laborum vitae mauris porta urna ligula cursus nunc eget ac arcu vel massa at""".split()
 )
-FILLER = r"\b(?:lorem|ipsum|dolor|amet|consectetur|elit|tempor|aliqua|quis|nulla|velit|mauris|vitae)\b"
+FILLER = ("lorem", "ipsum", " dolor ", " amet", " elit", "aliqua", " mauris", " vitae", " nulla ", " quis ", " velit ", " sed ")
 # Messages of sites and programs, notices, and provisional text.
 SPEAKS = re.compile(
     r"\b(?:[45]\d\d|errore|error|exception|traceback|forbidden|not found|non trovat[ao]|bad gateway|timeout|unavailable|accesso|access|login|autenticazione|"
@@ -182,7 +183,8 @@ def template_residue(questions: DataFrame, id_col: str = "id", text_col: str = "
     """(question_id) of the rows whose text is, or contains, template residue, filler or a site's message."""
     stems = questions.select(F.col(id_col).alias("question_id"), F.col(text_col).alias("stem"))
     # only stems with a marker or a filler word, and short pages, can be residue
-    suspect = F.col("stem").rlike(SUSPECT) | (F.length("stem") <= SHORT_PAGE) | F.lower("stem").rlike(FILLER)
+    holds = lambda c, parts: reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in parts])
+    suspect = (F.length("stem") <= SHORT_PAGE) | holds(F.col("stem"), SUSPECT) | holds(F.lower("stem"), FILLER)
     signs = stems.filter(suspect).mapInArrow(_signs, "question_id string, kind string, sign string, frames array<long>").persist()
     wanted = questions.sparkSession.sparkContext.broadcast(_wanted_bits(signs))
 

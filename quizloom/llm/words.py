@@ -22,8 +22,7 @@ from quizloom.llm.glyphs import Unifier, option_texts, subpart_texts, unified_sq
 
 LOW48 = np.uint64((1 << 48) - 1)
 WORD = re.compile(r"[a-z0-9]+")
-#: A lower-case word of ordinary Latin text, accents included, and characters that need DuckDB.
-LATIN_WORD = re.compile(r"[a-z0-9\u00df-\u00ff]+")
+#: Characters beyond plain Latin text.
 UNUSUAL = re.compile(r"[^\x00-\x7f\u00c0-\u00ff\u2010-\u2027]")
 #: Characters that the consistent form changes in a way that changes words; a Greek letter next to a space is a symbol.
 CHANGING = re.compile(
@@ -51,22 +50,33 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-class LatinHashes(dict):
-    """Word with accents -> hashes of the words left without them, runs of digits only left out."""
+def _latin_table() -> bytes:
+    """Byte table of Latin-1: letters to a-z without case and accents, digits kept, all else to blanks."""
+    out = bytearray(b" " * 256)
+    for code in range(256):
+        bare = "".join(c for c in unicodedata.normalize("NFD", chr(code).lower()) if not unicodedata.combining(c))
+        if WORD.fullmatch(bare) and len(bare) == 1:
+            out[code] = ord(bare)
+    return bytes(out)
+
+
+LATIN = _latin_table()
+
+
+class WordBytes(dict):
+    """Word as bytes -> its hash, 0 for a run of digits; forgets all once it holds too many words."""
+
+    def __init__(self, most: int = 400_000) -> None:
+        import xxhash
 
-    def __init__(self, hashes: Hashes) -> None:
         super().__init__()
-        self.hashes = hashes
+        self.hash, self.most = xxhash.xxh3_64_intdigest, most
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= self.hashes.most:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
             self.clear()
-        if word.isascii():
-            own = self[word] = [] if word.isdigit() else [self.hashes.hash(word.encode())]
-            return own
-        bare = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
-        own = self[word] = [self.hashes[w] for w in WORD.findall(bare) if not w.isdigit()]
-        return own
+        h = self[word] = 0 if word.isdigit() else self.hash(word)
+        return h
 
 
 def pack(words: np.ndarray) -> bytes:
@@ -106,8 +116,7 @@ def word_sets(df: DataFrame, key: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        unifier, hashes = Unifier(), Hashes()
-        latin = LatinHashes(hashes)
+        unifier, memory = Unifier(), WordBytes()
         for batch in (b.slice(i, 1 << 16) for b in batches for i in range(0, b.num_rows, 1 << 16)):
             texts = batch.column(1).to_pylist()
             odd = [i for i, t in enumerate(texts) if CHANGING.search(t)]
@@ -115,10 +124,12 @@ def word_sets(df: DataFrame, key: str) -> DataFrame:
                 mapped = unifier.run(f"lower(strip_accents({unified_sql('t')})) AS t", batch.select(["t"]).take(pa.array(odd))).column("t").to_pylist()
                 for i, t in zip(odd, mapped):
                     texts[i] = t
-            found = [list(chain.from_iterable(map(latin.__getitem__, LATIN_WORD.findall(t.lower())))) for t in texts]
+            # what is left beyond Latin-1 parts words, as any other sign does
+            found = [t.encode("latin-1", "replace").translate(LATIN).split() for t in texts]
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            words = np.fromiter(chain.from_iterable(found), dtype=np.uint64, count=int(sizes.sum())) & LOW48
-            row = np.repeat(np.arange(len(found), dtype=np.uint64), sizes)
+            words = np.fromiter(map(memory.__getitem__, chain.from_iterable(found)), dtype=np.uint64, count=int(sizes.sum()))
+            row = np.repeat(np.arange(len(found), dtype=np.uint64), sizes)[words != 0]
+            words = words[words != 0] & LOW48
             both = np.unique((row << np.uint64(48)) | words)  # sorted by row, then word
             words, counts = both & LOW48, np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=len(found))
             data, ends = pack(words), np.concatenate([[0], np.cumsum(counts)]) * 6
