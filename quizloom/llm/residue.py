@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +115,8 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(value)
 
         for qid, stem in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if stem is None or not stem.strip():
+            # only stems with a marker or a filler word, and short pages, can be residue
+            if not stem or not (len(stem) <= SHORT_PAGE or any(map(stem.__contains__, SUSPECT)) or any(map(stem.lower().__contains__, FILLER))) or not stem.strip():
                 continue
             words = WORD.findall(_clean(stem).lower())
             found, bare = _markers(stem) if any(c in stem for c in "{}<>[]%_uNTFX") else ([], False)
@@ -182,10 +182,7 @@ def _wanted_bits(signs: DataFrame) -> bytes:
 def template_residue(questions: DataFrame, id_col: str = "id", text_col: str = "stem") -> DataFrame:
     """(question_id) of the rows whose text is, or contains, template residue, filler or a site's message."""
     stems = questions.select(F.col(id_col).alias("question_id"), F.col(text_col).alias("stem"))
-    # only stems with a marker or a filler word, and short pages, can be residue
-    holds = lambda c, parts: reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in parts])
-    suspect = (F.length("stem") <= SHORT_PAGE) | holds(F.col("stem"), SUSPECT) | holds(F.lower("stem"), FILLER)
-    signs = stems.filter(suspect).mapInArrow(_signs, "question_id string, kind string, sign string, frames array<long>").persist()
+    signs = stems.mapInArrow(_signs, "question_id string, kind string, sign string, frames array<long>").persist()
     wanted = questions.sparkSession.sparkContext.broadcast(_wanted_bits(signs))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -161,10 +161,14 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
             mine, theirs = [s[own][:, None] for s in signature], [s[rest] for s in signature]
             for j in range(0, len(rest), WIDE):
                 wide = rest[j : j + WIDE]
+                limit = np.uint8(min(255, int(share * (most + n[wide[-1]]) + 1e-9)))
                 differ = np.bitwise_count(mine[0] ^ theirs[0][j : j + WIDE])
-                for a, b in zip(mine[1:], theirs[1:]):
-                    differ += np.bitwise_count(a ^ b[j : j + WIDE])
-                hit = np.flatnonzero(differ <= np.uint8(min(255, int(share * (most + n[wide[-1]]) + 1e-9))))
+                differ += np.bitwise_count(mine[1] ^ theirs[1][j : j + WIDE])
+                hit = np.flatnonzero(differ <= limit)
+                if len(hit) > differ.size // 32:  # large sets fill half a bitmap: look at all of it at once
+                    for a, b in zip(mine[2:], theirs[2:]):
+                        differ += np.bitwise_count(a ^ b[j : j + WIDE])
+                    hit = np.flatnonzero(differ <= limit)
                 if not len(hit):
                     continue
                 x, y = own[hit // len(wide)], wide[hit % len(wide)]

@@ -63,6 +63,14 @@ def _latin_table() -> bytes:
 LATIN = _latin_table()
 
 
+def latin_bytes(text: str) -> bytes | None:
+    """The text in Latin-1, other characters as signs that part words; None if some of them may change words."""
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None if CHANGING.search(text) else text.encode("latin-1", "replace")
+
+
 class WordBytes(dict):
     """Word as bytes -> its hash, 0 for a run of digits; forgets all once it holds too many words."""
 
@@ -119,18 +127,19 @@ def word_sets(df: DataFrame, key: str) -> DataFrame:
         unifier, memory = Unifier(), WordBytes()
         for batch in (b.slice(i, 1 << 16) for b in batches for i in range(0, b.num_rows, 1 << 16)):
             texts = batch.column(1).to_pylist()
-            odd = [i for i, t in enumerate(texts) if CHANGING.search(t)]
+            raw = [latin_bytes(t) for t in texts]
+            odd = [i for i, b in enumerate(raw) if b is None]
             if odd:  # only texts with characters that may change go through the mapping
                 mapped = unifier.run(f"lower(strip_accents({unified_sql('t')})) AS t", batch.select(["t"]).take(pa.array(odd))).column("t").to_pylist()
                 for i, t in zip(odd, mapped):
-                    texts[i] = t
-            # what is left beyond Latin-1 parts words, as any other sign does
-            found = [t.encode("latin-1", "replace").translate(LATIN).split() for t in texts]
+                    raw[i] = t.encode("latin-1", "replace")
+            found = [b.translate(LATIN).split() for b in raw]
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             words = np.fromiter(map(memory.__getitem__, chain.from_iterable(found)), dtype=np.uint64, count=int(sizes.sum()))
             row = np.repeat(np.arange(len(found), dtype=np.uint64), sizes)[words != 0]
             words = words[words != 0] & LOW48
-            both = np.unique((row << np.uint64(48)) | words)  # sorted by row, then word
+            both = np.sort((row << np.uint64(48)) | words)  # by row, then word
+            both = both[np.r_[True, both[1:] != both[:-1]][: len(both)]]
             words, counts = both & LOW48, np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=len(found))
             data, ends = pack(words), np.concatenate([[0], np.cumsum(counts)]) * 6
             packed = [data[i:j] for i, j in zip(ends[:-1], ends[1:])]
