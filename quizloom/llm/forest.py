@@ -25,7 +25,7 @@ from quizloom.llm.tiles import THRESHOLD, bounded_pairs, verify_pairs
 from quizloom.llm.words import unpack_all, word_sets
 from quizloom.sources.tables import use_checkpoint_dir
 
-TREES, DEPTH, DIGEST = 32, 6, 6
+TREES, DEPTH, DIGEST = 32, 6, 9
 #: Bits of the bitmap of a batch's prefixes, which thins the runs before any shuffle: 8 MB.
 BITS = 26
 RECALL = 0.98
@@ -126,20 +126,37 @@ class HashForest:
         return own.join(there, "prefix").filter("a <> b").select("a", "b").distinct()
 
     def search(self, asked: DataFrame, arrays: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-        """(a, b): verified partners in the runs of the sets asked for; arrays holds the words of both sides.
+        """(a, b): all verified partners in the runs of the sets asked for; arrays holds the words of both sides.
 
         A set that has a partner is not searched for at shorter prefixes.
         """
-        waiting = entries(asked).persist()
-        found = None
+        waiting, found = entries(asked).persist(), None
         for d in depths(threshold, target):
-            pairs = self.candidates(waiting, d).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("asked")).persist()
-            links = verify_pairs(bounded_pairs(pairs.select("a", "b").distinct(), arrays, threshold).persist(), arrays, threshold)
-            links = pairs.join(links, ["a", "b"], "left_semi").select(F.col("asked").alias("a"), F.expr("if(a = asked, b, a)").alias("b")).checkpoint()
+            pairs = bounded_pairs(self.candidates(waiting, d), arrays, threshold).select("a", "b").persist()
+            links = verify_pairs(pairs, arrays, threshold).checkpoint()
             found = links if found is None else found.union(links)
             waiting = waiting.join(links.select(F.col("a").alias("set_hash")).distinct(), "set_hash", "left_anti")
         return found
 
+    def earliest(self, asked: DataFrame, arrays: DataFrame, first: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
+        """(a, linked): of each set asked for, the least place of a verified partner; first (set_hash, first) gives the places.
+
+        The partner of the least place with the fewest differing bits is verified first; it
+        settles most sets. Of the others all further candidates are verified.
+        """
+        places = first.withColumnRenamed("set_hash", "b")
+        waiting, found = entries(asked).persist(), None
+        for d in depths(threshold, target):
+            pairs = bounded_pairs(self.candidates(waiting, d), arrays, threshold).join(places, "b").persist()
+            best = pairs.groupBy("a").agg(F.min(F.struct("first", "differ", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.first").alias("linked")).persist()
+            settled = best.join(verify_pairs(best.select("a", "b"), arrays, threshold), ["a", "b"], "left_semi").select("a", "linked").checkpoint()
+            others = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(settled.select("a"), "a", "left_anti").persist()
+            later = others.join(verify_pairs(others.select("a", "b"), arrays, threshold), ["a", "b"], "left_semi").groupBy("a").agg(F.min("first").alias("linked"))
+            links = settled.union(later).checkpoint()
+            found = links if found is None else found.union(links)
+            waiting = waiting.join(links.select(F.col("a").alias("set_hash")), "set_hash", "left_anti")
+        return found
+
 
 def _slot(prefix: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -184,7 +201,6 @@ def repeated_records(incoming: DataFrame, bank: DataFrame, folder: str | None =
     forest.append(new)
     # the earliest place of each set: before all records if the bank has it
     first = new.groupBy("set_hash").agg(F.min("raw_id").alias("first")).union(accepted.select("set_hash", F.lit(-(1 << 62)).alias("first"))).groupBy("set_hash").agg(F.min("first").alias("first")).persist()
-    links = forest.search(new, known.select("set_hash", "words").union(new.select("set_hash", "words")), threshold, target)
-    earliest = links.join(first.withColumnRenamed("set_hash", "b"), "b").groupBy("a").agg(F.min("first").alias("linked"))
+    earliest = forest.earliest(new, known.select("set_hash", "words").union(new.select("set_hash", "words")), first, threshold, target)
     rows = new.select("raw_id", "set_hash").join(first, "set_hash").join(earliest.withColumnRenamed("a", "set_hash"), "set_hash", "left")
     return rows.filter((F.col("first") < F.col("raw_id")) | (F.col("linked") < F.col("raw_id"))).select("raw_id")

@@ -131,7 +131,7 @@ def _passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, place: np.ndarray, sig
 
 
 def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, signature: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of whole tiles; the rows are sorted by tile and size."""
+    """Candidate pairs of whole tiles; the rows are sorted by tile, size and place."""
     left, right = [], []
     edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     length = np.diff(edges)
@@ -149,14 +149,14 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
     # in a large tile the smaller set has the word within n - overlap(n, n) + 1 places
     lead = place < n - needed_overlap(n, n, threshold) + 1
     share = (1 - threshold) / (1 + threshold)
-    # and the larger one has it at a place that leaves room for sets of up to this size
+    # and both have it at places that leave room for sets of up to this size
     room = np.floor((1 + threshold) / threshold * (n - place) + 1e-9) - n
     for start, stop in zip(edges[:-1][length > BLOCK], edges[1:][length > BLOCK]):
         leads = np.flatnonzero(lead[start:stop]) + start
         for o in range(0, len(leads), BLOCK):
             own = leads[o : o + BLOCK]
             least, most = n[own[0]], n[own[-1]]
-            top = start + int(np.searchsorted(n[start:stop], most / threshold + 1e-9, side="right"))
+            top = start + int(np.searchsorted(n[start:stop], min(most / threshold + 1e-9, room[own].max()), side="right"))
             rest = np.flatnonzero(room[own[0] : top] >= least) + own[0]
             mine, theirs = [s[own][:, None] for s in signature], [s[rest] for s in signature]
             for j in range(0, len(rest), WIDE):
@@ -267,7 +267,7 @@ def _signed(wanted: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def bounded_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose bitmaps leave room for the threshold: a tenth of what the arrays would shuffle."""
+    """(a, b, differ) of the pairs whose bitmaps leave room for the threshold, with their differing bits; a tenth of what the arrays would shuffle."""
     pairs = pairs.persist()
     wanted = sets.sparkSession.sparkContext.broadcast(_bitmap(pairs))
 
@@ -280,7 +280,7 @@ def bounded_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOL
     total = F.col("a_n") + F.col("b_n")
     room = total - 2 * F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
     sized = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter((differ <= room) & sized).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter((differ <= room) & sized).select("a", "b", differ.alias("differ"))
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -312,7 +312,7 @@ def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         yield from tile_rows(shared.value, threshold)(batches)
 
     tiles = filled.select("set_hash", "words").mapInArrow(rows, "tile long, id long, n int, place int, s0 long, s1 long, s2 long, s3 long")
-    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "n", "id")
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "n", "place")
     return tiles.mapInArrow(_tile_pairs(threshold), "a long, b long").distinct()
 
 

@@ -134,6 +134,18 @@ def test_recall_against_brute_force(spark, plain_bank):
     assert len(out) >= 0.97 * len(truth)
 
 
+def test_search_finds_partners(spark, tmp_path):
+    rows = bank(60, seed=5)
+    sets = words.word_sets(spark.createDataFrame(rows, QUESTION), "id").persist()
+    lake = forest.HashForest(spark, str(tmp_path / "s"))
+    lake.append(sets)
+    out = {(r.a, r.b) for r in lake.search(sets, sets).collect()}
+    own = {r.id: r.set_hash for r in sets.collect()}
+    named = {own[i]: w for i, w in sets_of(rows).items()}
+    truth = {(a, b) for a, x in named.items() for b, y in named.items() if a != b and x and y and len(x & y) >= 0.7 * len(x | y) - 1e-9}
+    assert out <= truth and len(out) >= 0.97 * len(truth)
+
+
 def test_runs_can_be_added_and_merged(spark, tmp_path):
     sets = words.word_sets(spark.createDataFrame(bank(40), QUESTION), "id")
     lake = forest.HashForest(spark, str(tmp_path / "a"))
