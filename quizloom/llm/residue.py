@@ -182,21 +182,22 @@ def _wanted_bits(signs: DataFrame) -> bytes:
 def template_residue(questions: DataFrame, id_col: str = "id", text_col: str = "stem") -> DataFrame:
     """(question_id) of the rows whose text is, or contains, template residue, filler or a site's message."""
     stems = questions.select(F.col(id_col).alias("question_id"), F.col(text_col).alias("stem"))
-    signs = stems.mapInArrow(_signs, "question_id string, kind string, sign string, frames array<long>").persist()
+    signs = stems.mapInArrow(_signs, "question_id string, kind string, sign string, frames array<long>").withColumn("sid", F.xxhash64("question_id", "kind", "sign")).persist()
     wanted = questions.sparkSession.sparkContext.broadcast(_wanted_bits(signs))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _frames(wanted.value)(batches)
 
     ordinary = stems.select("stem").mapInArrow(counted, "frame long, n long").groupBy("frame").agg(F.sum("n").alias("ordinary"))
-    asked = signs.select("question_id", "kind", "sign", F.posexplode_outer("frames").alias("at", "frame"))
+    # only numbers are shuffled with the frames
+    asked = signs.select("sid", "kind", F.xxhash64("sign").alias("own"), F.posexplode_outer("frames").alias("at", "frame"))
     # a frame of markers only: how many records keep it, and whether they keep the same one
-    kept = asked.filter(F.col("kind").isin("v", "d", "a")).groupBy("frame").agg(F.count("*").alias("kept"), F.min("sign").alias("s0"), F.max("sign").alias("s1"))
-    judged = asked.join(ordinary, "frame", "left").join(kept, "frame", "left")
+    kept = asked.filter(F.col("kind").isin("v", "d", "a")).groupBy("frame").agg(F.count("*").alias("kept"), F.min("own").alias("s0"), F.max("own").alias("s1"))
+    judged = asked.select("sid", "at", "frame").join(ordinary, "frame", "left").join(kept, "frame", "left")
     slot = F.col("ordinary") >= F.col("kept")
     varied = F.col("s0") != F.col("s1")
     constant = (F.col("kept") >= 3) & ~varied & (F.coalesce("ordinary", F.lit(0)) * 2 < F.col("kept"))
-    per = judged.groupBy("question_id", "kind", "sign").agg(
+    per = judged.groupBy("sid").agg(
         F.max(F.coalesce(slot, F.lit(False))).alias("slot"),
         F.max(F.coalesce(slot & (F.col("at") == 0), F.lit(False))).alias("between"),
         F.max(F.coalesce(varied, F.lit(False))).alias("varied"),
@@ -204,7 +205,7 @@ def template_residue(questions: DataFrame, id_col: str = "id", text_col: str = "
         F.avg((F.coalesce("ordinary", F.lit(0)) > 0).cast("double")).alias("known"),
     )
     pages = signs.filter(F.col("kind").startswith("page")).groupBy("sign").agg(F.count("*").alias("pages"))
-    per = per.join(pages, "sign", "left")
+    per = signs.select("sid", "question_id", "kind", "sign").join(per, "sid").join(pages, "sign", "left")
     residue = (
         (F.col("kind") == "certain")
         | (F.col("kind").isin("v", "d") & (F.col("slot") | F.col("varied") | ~F.col("constant")))

@@ -29,7 +29,7 @@ COMMON_SHARE = 0.001
 #: Tiles of words held by more sets than this are split by the second shared word.
 HOT_WORD = 500_000
 #: Rows compared at once with the rows of a large tile, and the length of such a row.
-BLOCK, WIDE = 64, 1024
+BLOCK, WIDE = 64, 512
 #: Bits of the bitmap that says which sets have candidates: 2 MB whatever the data's size.
 BITS = 24
 
@@ -185,7 +185,7 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
 
 
 def _tile_pairs(threshold: float, rows_at_once: int = 400_000):  # noqa: ANN202
-    """Arrow function over rows sorted by tile and size: candidate pairs. A tile is held whole."""
+    """Arrow function over rows sorted by tile: candidate pairs. A tile is held whole."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -197,7 +197,8 @@ def _tile_pairs(threshold: float, rows_at_once: int = 400_000):  # noqa: ANN202
             cut = len(key) if last else int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
             held = table.slice(cut).combine_chunks().to_batches() if cut < len(key) else []
             if cut:
-                a, b = _compare(key[:cut], ids[:cut], n[:cut].astype(np.int64), place[:cut].astype(np.int64), [s[:cut].view(np.uint64) for s in signature], threshold)
+                order = np.lexsort((place[:cut], n[:cut], key[:cut]))
+                a, b = _compare(key[order], ids[order], n[order].astype(np.int64), place[order].astype(np.int64), [s[order].view(np.uint64) for s in signature], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         count = 0
@@ -312,7 +313,7 @@ def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         yield from tile_rows(shared.value, threshold)(batches)
 
     tiles = filled.select("set_hash", "words").mapInArrow(rows, "tile long, id long, n int, place int, s0 long, s1 long, s2 long, s3 long")
-    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "n", "place")
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile")  # one long: a radix sort; the rest of the order is made where it is used
     return tiles.mapInArrow(_tile_pairs(threshold), "a long, b long").distinct()
 
 
