@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.words import Hashes
+from quizloom.llm.glyphs import Unifier
+from quizloom.llm.words import latin_bytes
+
 
 # Shapes of variable names, defaults and blanks.
 VARIABLE = r"\{\{[^{}]*\}\}|[$#]\{[^{}]*\}|\{%[^%]*%\}|<%[^%]*%>|%%\w+%%|(?<!\w)%[A-Z_]{3,}%|\[\[[^\[\]]*\]\]|(?<!\w)__[A-Za-z]\w*?__|\{[A-Za-z_][\w.]*\}|\[[A-Z]{3,}(?: [A-Z]+)+\]"
@@ -53,7 +55,33 @@ STATUS = re.compile(r"(?:\W|<\w+>|\d\.\s)*(?:[45]\d\d\b|errore\b|error\b)", re.I
 #: Characters up to which a stem is a short page.
 SHORT_PAGE = 200
 BITS = 24
-BOS, EOS = "\x02", "\x03"
+BOS, EOS, MARK, NUMBER = b"\x02", b"\x03", b"\x00", b"#"
+#: Byte table of Latin-1: letters, digits, underscores and the mark stay, all else parts words.
+PARTS = bytes(c if chr(c).isalnum() or c in (0, 95) else 32 for c in range(256))
+
+
+class TokenHashes(dict):
+    """Token -> 64-bit hash; whatever begins with a digit counts as a number. Forgets all once it holds too many."""
+
+    def __init__(self, most: int = 400_000) -> None:
+        import xxhash
+
+        super().__init__()
+        self.hash, self.most = xxhash.xxh3_64_intdigest, most
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[token] = self.hash(NUMBER if token[:1].isdigit() else token)
+        return h
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+
+def _tokens(text: str) -> list[bytes]:
+    """Words in lower case; characters beyond Latin-1 part them."""
+    return text.lower().encode("latin-1", "replace").translate(PARTS).split()
 
 
 def _mix(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
@@ -67,14 +95,11 @@ def _clean(stem: str) -> str:
     return TAG.sub(" ", stem) if "<" in stem else stem
 
 
-def _words(stem: str) -> list[str]:
-    """Words of a stem in lower case between two begin and two end marks; markers become NUL words."""
+def _words(stem: str) -> list[bytes]:
+    """Tokens of a stem between two begin and two end marks; markers become marks."""
     if any(c in stem for c in "{}<>[]%_") or "undefined" in stem or "NaN" in stem:
         stem = MARKER.sub(" \x00 ", _clean(stem))
-        inner = re.findall(r"\w+|\x00", stem.lower())
-    else:
-        inner = WORD.findall(stem.lower())
-    return [BOS, BOS, *["#" if w[0].isdigit() else w for w in inner], EOS, EOS]
+    return [BOS, BOS, *_tokens(stem), EOS, EOS]
 
 
 def filler_run(words: list[str]) -> bool:
@@ -88,24 +113,27 @@ def filler_run(words: list[str]) -> bool:
     return 3 <= len(words) <= 8 and head >= 3 and head * 2 > len(words)
 
 
-def _markers(stem: str) -> tuple[list[tuple[str, str, list[str]]], bool]:
+def _markers(stem: str) -> tuple[list[tuple[str, str, list[bytes]]], bool]:
     """Markers of a stem as (kind, text, [two words before, two after]); and whether hardly any text is around them."""
     stem = _clean(stem)
     pieces, found, last = [BOS, BOS], [], 0
     for m in MARKER.finditer(stem):
-        pieces += WORD.findall(stem[last : m.start()].lower())
+        pieces += _tokens(stem[last : m.start()])
         found.append((m.lastgroup, re.sub(r"\s+", " ", m.group()), len(pieces)))
-        pieces.append("\x00")
+        pieces.append(MARK)
         last = m.end()
-    pieces += WORD.findall(stem[last:].lower()) + [EOS, EOS]
-    pieces = ["#" if p[0].isdigit() else p for p in pieces]
-    bare = sum(p not in ("\x00", BOS, EOS, "#") for p in pieces) <= 1
+    pieces += _tokens(stem[last:]) + [EOS, EOS]
+    bare = sum(p not in (MARK, BOS, EOS) and not p[:1].isdigit() for p in pieces) <= 1
     return [(k, t, [pieces[i - 2], pieces[i - 1], pieces[i + 1], pieces[i + 2]]) for k, t, i in found], bare
 
 
+def _suspect(stem: str) -> bool:
+    return len(stem) <= SHORT_PAGE or any(map(stem.__contains__, SUSPECT)) or any(map(stem.lower().__contains__, FILLER))
+
+
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each suspect stem: its markers with their frames, its whole-page template with word pairs, or filler."""
-    hashes = Hashes()
+    hashes, unifier = TokenHashes(), None
     names = ["question_id", "kind", "sign", "frames"]
     for batch in batches:
         out: list[list] = [[], [], [], []]
@@ -114,9 +142,15 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(out, (qid, kind, sign, frames)):
                 column.append(value)
 
-        for qid, stem in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            # only stems with a marker or a filler word, and short pages, can be residue
-            if not stem or not (len(stem) <= SHORT_PAGE or any(map(stem.__contains__, SUSPECT)) or any(map(stem.lower().__contains__, FILLER))) or not stem.strip():
+        # only stems with a marker or a filler word, and short pages, can be residue
+        suspects = [(q, s) for q, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if s and _suspect(s)]
+        odd = [i for i, (_, s) in enumerate(suspects) if latin_bytes(s) is None]
+        if odd:  # in the consistent form, their words meet those of other records
+            unifier = unifier or Unifier()
+            for i, form in zip(odd, unifier.unify(pa.array([suspects[i][1] for i in odd], pa.string())).to_pylist()):
+                suspects[i] = (suspects[i][0], form)
+        for qid, stem in suspects:
+            if not stem.strip():
                 continue
             words = WORD.findall(_clean(stem).lower())
             found, bare = _markers(stem) if any(c in stem for c in "{}<>[]%_uNTFX") else ([], False)
@@ -127,7 +161,7 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hb = hashes.of([b2, b1, a1, a2])
                 add(qid, kind, text, _signed([_mix(hb[1:2], hb[2:3], 1)[0], _mix(hb[0:1], hb[1:2], 2)[0], _mix(hb[2:3], hb[3:4], 3)[0]]))
             if len(stem) <= SHORT_PAGE:
-                h = hashes.of(["#" if w[0].isdigit() else w for w in words])
+                h = hashes.of(_tokens(_clean(stem)))
                 pairs = np.unique(_mix(h[:-1], h[1:], 4)) if len(h) > 1 else h
                 mask = re.sub(r"[^\w#]+", " ", CODE.sub("#", _clean(stem).lower())).strip(" #")
                 terse = len(words) <= 10 and "?" not in stem and SPEAKS.search(stem)
@@ -143,8 +177,8 @@ def _frames(wanted: bytes):  # noqa: ANN202
     """Counts, over all stems, of the frames and word pairs whose bit is set in wanted."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = Hashes(), np.frombuffer(wanted, dtype=np.uint8)
-        mark = np.uint64(hashes["\x00"])
+        hashes, bits = TokenHashes(), np.frombuffer(wanted, dtype=np.uint8)
+        mark = np.uint64(hashes[MARK])
         for batch in batches:
             texts = [s for s in batch.column(0).to_pylist() if s]
             stems = [_words(s) for s in texts]

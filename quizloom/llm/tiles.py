@@ -80,7 +80,7 @@ def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: floa
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks, counts = common
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(i, 1 << 16) for b in batches for i in range(0, b.num_rows, 1 << 16)):
             fresh = []
             for i, x in enumerate(batch.column(0).to_pylist()):
                 if x not in seen:
@@ -96,8 +96,11 @@ def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: floa
             row = np.repeat(np.arange(len(ids)), sizes)
             at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
             is_common = known[at] == words if len(known) else np.zeros(len(words), bool)
-            rank = np.where(is_common, ranks[at], -1) if len(known) else np.full(len(words), -1)
-            order = np.lexsort((words, rank, row))
+            # rare words first, by hash as they come, then the common ones by rank: one key of row and place
+            within = words >> np.uint64(1)
+            if len(known):
+                within = np.where(is_common, np.uint64(1 << 47) | ranks[at].astype(np.uint64), within)
+            order = np.argsort((row.astype(np.uint64) << np.uint64(48)) | within, kind="stable")
             words, hot = words[order], (is_common & (counts[at] > HOT_WORD) if len(known) else is_common)[order]
             position = np.arange(len(words)) - np.repeat(starts[:-1], sizes)
             n = np.repeat(sizes, sizes)
