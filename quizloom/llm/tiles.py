@@ -61,14 +61,18 @@ SIGNATURE = ("s0", "s1", "s2", "s3")
 
 
 def _signatures(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Four 64-bit bitmaps of each row's words: word w sets bit w mod 256 of the 256."""
+    """Four 64-bit bitmaps of each row's words: word w turns bit w mod 256 of the 256.
+
+    Two sets' bitmaps differ in no more bits than the sets differ in words; turning bits
+    rather than setting them keeps large sets apart.
+    """
     bits = np.uint64(1) << (words & np.uint64(63))
     quarter = (words >> np.uint64(6)) & np.uint64(3)
     zero = np.uint64(0)
     out = []
     for q in range(4):
         own = np.append(np.where(quarter == q, bits, zero), zero)
-        sig = np.bitwise_or.reduceat(own, starts[:-1]) if len(starts) > 1 else np.zeros(0, np.uint64)
+        sig = np.bitwise_xor.reduceat(own, starts[:-1]) if len(starts) > 1 else np.zeros(0, np.uint64)
         sig[starts[:-1] == starts[1:]] = 0
         out.append(sig.astype(np.uint64))
     return out
