@@ -65,15 +65,36 @@ def classify(text: str) -> tuple[list[int], list[str], list[str]]:
     return codes, kinds, strings
 
 
-def is_prose(line: str, kinds: list[str], strings: list[str]) -> bool:
+def lines_of(kinds: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the tokens of each line, without the line break."""
+    start = 0
+    for i, kind in enumerate(kinds):
+        if kind == "l":
+            yield start, i
+            start = i + 1
+    yield start, len(kinds)
+
+
+def is_prose(kinds: list[str], strings: list[str]) -> bool:
     """A line that ends like a sentence and has function words, no links or tags, and no returning pairs."""
-    words = [s for k, s in zip(kinds, strings) if k in "wf"]
-    if len(words) < 8 or not re.search(r"[.?!:;…][\"'”»)]*\s*$", line) or "u" in kinds or "h" in kinds:
+    words = functions = 0
+    for k in kinds:
+        if k == "f":
+            functions += 1
+        elif k == "w":
+            words += 1
+        elif k == "u" or k == "h":
+            return False
+    words += functions
+    if words < 8 or functions < 0.2 * words:
         return False
-    if sum(k == "f" for k in kinds) < 0.2 * len(words):
+    end = len(strings) - 1
+    while end >= 0 and strings[end] in "\"'”»)":
+        end -= 1
+    if strings[end] not in ".?!:;…":
         return False
-    pairs = Counter((a, b) for (a, b), (j, k) in zip(zip(strings, strings[1:]), zip(kinds, kinds[1:])) if j == k == "w")
-    return not pairs or max(pairs.values()) < max(3, 0.04 * len(words))
+    pairs = Counter((a, b) for a, b, j, k in zip(strings, strings[1:], kinds, kinds[1:]) if j == k == "w")
+    return not pairs or max(pairs.values()) < max(3, 0.04 * words)
 
 
 def _trigrams(codes: np.ndarray) -> np.ndarray:
@@ -87,12 +108,12 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter[int] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for line in text.split("\n") if text else ():
-                if len(line) < 40:
-                    continue
-                codes, kinds, strings = classify(line)
-                if is_prose(line, kinds, strings):
-                    total.update(_trigrams(np.array(codes)).tolist())
+            if not text:
+                continue
+            codes, kinds, strings = classify(text)
+            for i, j in lines_of(kinds):
+                if j - i >= 8 and is_prose(kinds[i:j], strings[i:j]):
+                    total.update(_trigrams(np.array(codes[i:j])).tolist())
     yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["trigram", "n"])
 
 
@@ -137,12 +158,10 @@ def spam_share(text: str, kinds: list[str], strings: list[str]) -> float:
     if not weight.sum():
         return 0.0
     marked = np.zeros(n, bool)
-    line_of = np.cumsum([k == "l" for k in kinds])
-    lines = text.split("\n")
-    for line, (start, stop) in enumerate(zip(np.searchsorted(line_of, range(len(lines)), "left"), np.searchsorted(line_of, range(len(lines)), "right"))):
+    for line, (start, stop) in zip(text.split("\n"), lines_of(kinds)):
         own = kinds[start:stop]
-        words, links = sum(k in "wf" for k in own), own.count("u")
-        if links and words <= 7 * links or CURRENCY.search(lines[line]) and words <= 12:
+        links, words = own.count("u"), own.count("w") + own.count("f")
+        if links and words <= 7 * links or words <= 12 and CURRENCY.search(line):
             marked[start:stop] = True
     marked |= np.array([k in "hu" for k in kinds])
     at = [i for i, k in enumerate(kinds) if k in "wf" or k == "n"]
@@ -175,11 +194,7 @@ def page_scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 if not any(k in "wfnhu" for k in kinds):
                     continue
                 keep.append(i)
-                prose = 0
-                for line in page.split("\n"):
-                    if len(line) >= 40:
-                        c, k, s = classify(line)
-                        prose += len(c) * is_prose(line, k, s)
+                prose = sum(j - i for i, j in lines_of(kinds) if j - i >= 8 and is_prose(kinds[i:j], strings[i:j]))
                 for column, value in zip(out, (model.mean(codes), prose / len(codes), spam_share(page, kinds, strings))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(c, pa.float64()) for c in out)], ["doc_id", "surprisal", "prose_share", "spam_share"])
