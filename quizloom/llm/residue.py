@@ -6,7 +6,9 @@ between, the position is a slot; a record whose slot still holds a variable name
 default or a blank is residue, while a blank or argument that all records of the frame
 keep belongs to the question. Short pages are also masked into whole-page templates: a page
 whose word pairs do not occur in ordinary stems, and which repeats or speaks of errors,
-access, scripts or provisional text, is no question.
+access, scripts or provisional text, is no question. In a stem of any length, each sentence
+and each line that speaks of such things is masked and judged by itself: it is a message if
+its word pairs occur neither in sentences that speak of no such thing nor in several others.
 
 Nulls and empty stems are no residue; repeated ids give one row.
 """
@@ -41,20 +43,38 @@ FILLER_WORDS = frozenset(
     reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa
     qui officia deserunt mollit anim id est laborum vitae mauris porta urna ligula cursus nunc eget ac arcu vel massa at""".split()
 )
-FILLER = ("lorem", "ipsum", " dolor ", " amet", " elit", "aliqua", " mauris", " vitae", " nulla ", " quis ", " velit ", " sed ")
+FILLER_BYTES = frozenset(w.encode() for w in FILLER_WORDS)
+RUN = b"\x01" * 6
 # Messages of sites and programs, notices, and provisional text.
 SPEAKS = re.compile(
-    r"\b(?:[45]\d\d|errore|error|exception|traceback|forbidden|not found|non trovat[ao]|bad gateway|timeout|unavailable|accesso|access|login|autenticazione|"
+    r"\b(?:[45]\d\d|errore|\w*error|\w*exception|traceback|forbidden|not found|non trovat[ao]|bad gateway|timeout|unavailable|accesso|access|login|autenticazione|"
     r"sessione|session|permess[io]|denied|negato|robot|captcha|javascript|scripts?|browser|cookie|ricarica|aggiorna|riprova\w*|richiest[ae]|"
     r"caricamento|loading|oops|non esiste|non disponibile|manutenzione|maintenance|"
     r"prova|esempio|provvisori[oa]|sostituire|completare|inserire|segnaposto|placeholder|asdf|qwer|bla|todo|xxx|testo)\b",
     re.I,
 )
 CODE = re.compile(r"\b[0-9a-f]{6,}\b|\d+", re.I)
+#: The phrases of SPEAKS by a word of each; the rest of it is single words.
+PHRASES = {b"found": b"not found", b"trovato": b"non trovato", b"trovata": b"non trovata", b"gateway": b"bad gateway", b"esiste": b"non esiste", b"disponibile": b"non disponibile"}
+#: What one word says enough of; of the other words, which questions use as well, a message has two, one in WORDY words.
+WORDY = 8
+STRONG = re.compile(
+    r"\b(?:traceback|\w+exception|\w+error|forbidden|not found|non trovat[ao]|bad gateway|unavailable|negato|denied|captcha|javascript|oops|"
+    r"non disponibile|manutenzione|maintenance|ricarica|riprova|riprovare|segnaposto|placeholder|asdf|qwer)\b",
+    re.I,
+)
+#: Ends of sentences, empty lines, and signs that part a message from the text next to it.
+PIECES = re.compile(r"(?<=[.!?\u2026])[\"'\u00bb\u201d)]*\s+|\n\s*\n|\s[*|#=\u2013\u2014-]+\s")
+#: Line ends but those inside a wrapped sentence.
+LINES = re.compile(r"\n(?!\s*(?:[a-z\u00df-\u00ff]|\d+\s*[?.,;)]))")
+#: Pieces of so many templates hold a word pair that belongs to questions about such things.
+TEMPLATES = 4
 STATUS = re.compile(r"(?:\W|<\w+>|\d\.\s)*(?:[45]\d\d\b|errore\b|error\b)", re.I)
 #: Characters up to which a stem is a short page.
 SHORT_PAGE = 200
 BITS = 24
+#: Tells a pair counted in calm pieces from the same pair counted in all long stems.
+CALM = np.uint64(0x5851F42D4C957F2D)
 BOS, EOS, MARK, NUMBER = b"\x02", b"\x03", b"\x00", b"#"
 #: Byte table of Latin-1: letters, digits, underscores and the mark stay, all else parts words.
 PARTS = bytes(c if chr(c).isalnum() or c in (0, 95) else 32 for c in range(256))
@@ -79,6 +99,25 @@ class TokenHashes(dict):
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
+class Speech(dict):
+    """Token -> 2 if STRONG, 1 if another word of SPEAKS or a word of its phrases, 0 otherwise; numbers are 0. Forgets all once it holds too many."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        word = PHRASES.get(token, token).decode("latin-1")
+        h = self[token] = 0 if token.isdigit() else 2 if STRONG.fullmatch(word) else 1 if SPEAKS.fullmatch(word) else 0
+        return h
+
+    def said(self, tokens: list[bytes]) -> set[bytes]:
+        """The words of SPEAKS, and of its phrases, that are in the text of the tokens."""
+        found = set(filter(self.__getitem__, tokens))
+        if not found.isdisjoint(PHRASES):
+            text = b" %s " % b" ".join(tokens)
+            found = {t for t in found if t not in PHRASES or b" %s " % PHRASES[t] in text}
+        return found
+
+
 def _tokens(text: str) -> list[bytes]:
     """Words in lower case; characters beyond Latin-1 part them."""
     return text.lower().encode("latin-1", "replace").translate(PARTS).split()
@@ -95,11 +134,57 @@ def _clean(stem: str) -> str:
     return TAG.sub(" ", stem) if "<" in stem else stem
 
 
-def _words(stem: str) -> list[bytes]:
-    """Tokens of a stem between two begin and two end marks; markers become marks."""
+def _words(stem: str, speech: Speech) -> tuple[list[bytes], list[bool] | None]:
+    """Tokens of a stem between two begin and two end marks, markers become marks; and, unless all are, which are calm.
+
+    A token is calm if its sentence speaks of no errors, access, scripts or provisional text.
+    """
     if any(c in stem for c in "{}<>[]%_") or "undefined" in stem or "NaN" in stem:
         stem = MARKER.sub(" \x00 ", _clean(stem))
-    return [BOS, BOS, *_tokens(stem), EOS, EOS]
+    words = _tokens(stem)
+    if not speech.said(words):
+        return [BOS, BOS, *words, EOS, EOS], None
+    words, calm = [BOS, BOS], [False, False]
+    for piece in PIECES.split(stem):
+        own = _tokens(piece)
+        words += own
+        calm += [not speech.said(own)] * len(own)
+    return [*words, EOS, EOS], [*calm, False, False]
+
+
+def _messages(stem: str, speech: Speech) -> Iterator[tuple[str, str, list[bytes], list[bool]]]:
+    """Of each sentence and line that speaks of such things: its kind, its template, its tokens, and which pairs tell something.
+
+    A "part" may be a message, an "ask" is none; of a sentence of several lines, a "whole", the lines are counted instead.
+    Names (capitals inside a piece) meet ever new words: pairs with them tell nothing.
+    """
+    pieces = {}
+    for piece in PIECES.split(stem):
+        lines = LINES.split(piece) if "\n" in piece else [piece]
+        pieces.update(dict.fromkeys(lines, "part"))
+        if len(lines) > 1:
+            pieces.setdefault(piece, "whole")
+    for piece, kind in pieces.items():
+        tokens = _tokens(piece)
+        said = speech.said(tokens)
+        if not said or len(tokens) < 2:
+            continue
+        evidence = len(said) + bool(STATUS.match(piece))
+        strong = any(speech[t] == 2 for t in said)
+        if not strong and evidence < 2:
+            continue
+        if "?" in piece or not strong and len(tokens) > WORDY * evidence:
+            if kind == "whole":
+                continue
+            kind = "ask"
+        upper = [t.decode("latin-1")[:1].isupper() for t in piece.encode("latin-1", "replace").translate(PARTS).split()]
+        title = 2 * sum(upper) > sum(not t[:1].isdigit() for t in tokens)
+        plain = [i == 0 or not u or title or t in said for i, (u, t) in enumerate(zip(upper, tokens))]
+        yield kind, _mask(piece), tokens, [a and b for a, b in zip(plain, plain[1:])]
+
+
+def _mask(text: str) -> str:
+    return re.sub(r"[^\w#]+", " ", CODE.sub("#", text.lower())).strip(" #")
 
 
 def filler_run(words: list[str]) -> bool:
@@ -127,13 +212,16 @@ def _markers(stem: str) -> tuple[list[tuple[str, str, list[bytes]]], bool]:
     return [(k, t, [pieces[i - 2], pieces[i - 1], pieces[i + 1], pieces[i + 2]]) for k, t, i in found], bare
 
 
-def _suspect(stem: str) -> bool:
-    return len(stem) <= SHORT_PAGE or any(map(stem.__contains__, SUSPECT)) or any(map(stem.lower().__contains__, FILLER))
+def _suspect(stem: str, speech: Speech) -> bool:
+    if len(stem) <= SHORT_PAGE or any(map(stem.__contains__, SUSPECT)):
+        return True
+    tokens = _tokens(stem)
+    return len(tokens) <= 8 or RUN in bytes(map(FILLER_BYTES.__contains__, tokens)) or bool(speech.said(tokens))
 
 
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each suspect stem: its markers with their frames, its whole-page template with word pairs, or filler."""
-    hashes, unifier = TokenHashes(), None
+    """Of each suspect stem: its markers with their frames, the templates of the page and of possible messages with word pairs, or filler."""
+    hashes, speech, unifier = TokenHashes(), Speech(), None
     names = ["question_id", "kind", "sign", "frames"]
     for batch in batches:
         out: list[list] = [[], [], [], []]
@@ -142,8 +230,8 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(out, (qid, kind, sign, frames)):
                 column.append(value)
 
-        # only stems with a marker or a filler word, and short pages, can be residue
-        suspects = [(q, s) for q, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if s and _suspect(s)]
+        # only stems with a marker, filler or a word of messages, and short pages, can be residue; or with letters that hide one
+        suspects = [(q, s) for q, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if s and (_suspect(s, speech) or latin_bytes(s) is None)]
         odd = [i for i, (_, s) in enumerate(suspects) if latin_bytes(s) is None]
         if odd:  # in the consistent form, their words meet those of other records
             unifier = unifier or Unifier()
@@ -152,20 +240,29 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for qid, stem in suspects:
             if not stem.strip():
                 continue
-            words = WORD.findall(_clean(stem).lower())
-            found, bare = _markers(stem) if any(c in stem for c in "{}<>[]%_uNTFX") else ([], False)
-            if filler_run(words) or (bare and found):
+            tokens = _tokens(_clean(stem))
+            words = WORD.findall(_clean(stem).lower()) if len(stem) <= SHORT_PAGE or len(tokens) <= 8 else []
+            found, bare = _markers(stem) if any(map(stem.__contains__, SUSPECT)) else ([], False)
+            if RUN in bytes(map(FILLER_BYTES.__contains__, tokens)) or filler_run(words) or (bare and found):
                 add(qid, "certain", "", [])
                 continue
             for kind, text, (b2, b1, a1, a2) in found:
                 hb = hashes.of([b2, b1, a1, a2])
                 add(qid, kind, text, _signed([_mix(hb[1:2], hb[2:3], 1)[0], _mix(hb[0:1], hb[1:2], 2)[0], _mix(hb[2:3], hb[3:4], 3)[0]]))
             if len(stem) <= SHORT_PAGE:
-                h = hashes.of(_tokens(_clean(stem)))
+                h = hashes.of(tokens)
                 pairs = np.unique(_mix(h[:-1], h[1:], 4)) if len(h) > 1 else h
-                mask = re.sub(r"[^\w#]+", " ", CODE.sub("#", _clean(stem).lower())).strip(" #")
+                mask = _mask(_clean(stem))
                 terse = len(words) <= 10 and "?" not in stem and SPEAKS.search(stem)
                 add(qid, "page!" if terse and STATUS.match(stem) else "page-" if terse else "page+" if SPEAKS.search(stem) else "page", mask, _signed(pairs))
+            if not speech.said(tokens):
+                continue
+            for kind, mask, tokens, telling in _messages(_clean(stem), speech):
+                if kind != "ask" and filler_run(WORD.findall(mask)):
+                    add(qid, "certain", "", [])
+                elif any(telling):
+                    h = hashes.of(tokens)
+                    add(qid, kind, mask, _signed(np.unique(_mix(h[:-1], h[1:], 4)[telling] ^ CALM)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())))], names)
 
 
@@ -177,13 +274,13 @@ def _frames(wanted: bytes):  # noqa: ANN202
     """Counts, over all stems, of the frames and word pairs whose bit is set in wanted."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = TokenHashes(), np.frombuffer(wanted, dtype=np.uint8)
+        hashes, speech, bits = TokenHashes(), Speech(), np.frombuffer(wanted, dtype=np.uint8)
         mark = np.uint64(hashes[MARK])
         for batch in batches:
             texts = [s for s in batch.column(0).to_pylist() if s]
-            stems = [_words(s) for s in texts]
-            if not stems:
+            if not texts:
                 continue
+            stems, calm = zip(*(_words(s, speech) for s in texts))
             sizes = np.array([len(s) for s in stems])
             h = hashes.of([w for s in stems for w in s])
             row = np.repeat(np.arange(len(stems)), sizes)
@@ -194,7 +291,11 @@ def _frames(wanted: bytes):  # noqa: ANN202
             at = at[inside]
             pair = np.arange(len(h) - 1)
             pair = pair[(row[:-1] == row[1:]) & long[:-1]]
-            keys = np.concatenate([_mix(h[at - 1], h[at + 1], 1), _mix(h[at - 2], h[at - 1], 2), _mix(h[at + 1], h[at + 2], 3), _mix(h[pair], h[pair + 1], 4)])
+            pairs = _mix(h[pair], h[pair + 1], 4)
+            quiet = np.ones(len(h), bool)
+            for i in (i for i, c in enumerate(calm) if c is not None):
+                quiet[ends[i] - sizes[i] : ends[i]] = calm[i]
+            keys = np.concatenate([_mix(h[at - 1], h[at + 1], 1), _mix(h[at - 2], h[at - 1], 2), _mix(h[at + 1], h[at + 2], 3), pairs, pairs[quiet[pair] & quiet[pair + 1]] ^ CALM])
             slot = keys & np.uint64((1 << BITS) - 1)
             keys = keys[(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             frames, counts = np.unique(keys, return_counts=True)
@@ -227,7 +328,9 @@ def template_residue(questions: DataFrame, id_col: str = "id", text_col: str = "
     asked = signs.select("sid", "kind", F.xxhash64("sign").alias("own"), F.posexplode_outer("frames").alias("at", "frame"))
     # a frame of markers only: how many records keep it, and whether they keep the same one
     kept = asked.filter(F.col("kind").isin("v", "d", "a")).groupBy("frame").agg(F.count("*").alias("kept"), F.min("own").alias("s0"), F.max("own").alias("s1"))
-    judged = asked.select("sid", "at", "frame").join(ordinary, "frame", "left").join(kept, "frame", "left")
+    # a pair of possible messages: in how many templates, as bits: two may fall on one
+    spoken = asked.filter("kind IN ('part', 'ask')").groupBy("frame").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(own & 63 as int))"))).alias("templates"))
+    judged = asked.select("sid", "at", "frame").join(ordinary, "frame", "left").join(kept, "frame", "left").join(spoken, "frame", "left")
     slot = F.col("ordinary") >= F.col("kept")
     varied = F.col("s0") != F.col("s1")
     constant = (F.col("kept") >= 3) & ~varied & (F.coalesce("ordinary", F.lit(0)) * 2 < F.col("kept"))
@@ -236,7 +339,7 @@ def template_residue(questions: DataFrame, id_col: str = "id", text_col: str = "
         F.max(F.coalesce(slot & (F.col("at") == 0), F.lit(False))).alias("between"),
         F.max(F.coalesce(varied, F.lit(False))).alias("varied"),
         F.max(F.coalesce(constant, F.lit(False))).alias("constant"),
-        F.avg((F.coalesce("ordinary", F.lit(0)) > 0).cast("double")).alias("known"),
+        F.avg(((F.coalesce("ordinary", F.lit(0)) > 0) | (F.coalesce("templates", F.lit(0)) >= TEMPLATES)).cast("double")).alias("known"),
     )
     pages = signs.filter(F.col("kind").startswith("page")).groupBy("sign").agg(F.count("*").alias("pages"))
     per = signs.select("sid", "question_id", "kind", "sign").join(per, "sid").join(pages, "sign", "left")
@@ -247,6 +350,7 @@ def template_residue(questions: DataFrame, id_col: str = "id", text_col: str = "
         | (F.col("kind") == "page!")
         | (F.col("kind").isin("page+", "page-") & (F.col("known") < 0.5))
         | ((F.col("kind") == "page-") & (F.col("pages") >= 2))
+        | (F.col("kind").isin("part", "whole") & (F.col("known") < 0.2))
         | ((F.col("kind") == "page") & (F.col("known") < 0.2) & (F.col("pages") >= 2))
     )
     return per.filter(residue).select("question_id").distinct()

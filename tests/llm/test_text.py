@@ -62,6 +62,20 @@ def test_slots_that_keep_placeholders_are_residue(spark):
     assert {r.question_id for r in out} == set(bad)
 
 
+def test_messages_and_filler_are_found_in_stems_of_any_length(spark):
+    question = bank_of_templates()[0][1]
+    bad = {
+        "trace": "Traceback (most recent call last):\n" + "".join(f'  File "/srv/app/views{i}.py", line {i}7, in render_page\n    return engine.load(row, depth={i})\n' for i in range(5)) + "ValueError: invalid literal for row",
+        "java": "java.lang.NullPointerException: row was null\n" + "".join(f"\tat org.zab.engine.Loader.step{i}(Loader.java:1{i})\n" for i in range(9)),
+        "scripts": "Questo sito usa contenuti dinamici che il programma in uso non mostra. Per visualizzare questo contenuto è necessario abilitare JavaScript nelle impostazioni. " + "Dopo la modifica chiudere ogni finestra aperta, attendere qualche istante e tornare alla pagina iniziale del portale. " * 2,
+        "before": "502 Bad Gateway\n" + question, "asked": "502 Bad Gateway\n" + question[:-1] + ", e perché?", "after": question + " Accesso negato. Effettua il login per continuare.", "filler": question + " Enim ad minim veniam nostrud exercitation ullamco laboris nisi.",
+    }
+    assert all(len(s) > residue.SHORT_PAGE for s in bad.values())
+    rows = bank_of_templates() + [(k, v, None, None, "it") for k, v in bad.items()] + [(f"{k}2", v, None, None, "it") for k, v in bad.items()]
+    out = residue.template_residue(spark.createDataFrame(rows, QUESTION)).collect()
+    assert {r.question_id for r in out} == set(bad) | {f"{k}2" for k in bad}
+
+
 def test_no_residue_in_an_empty_table(spark):
     assert residue.template_residue(spark.createDataFrame([], QUESTION)).collect() == []
 
