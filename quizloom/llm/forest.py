@@ -6,8 +6,11 @@ order. The labels of accepted sets lie in a shared folder as runs: Parquet files
 is a range of labels, and the search begins with whole labels and widens to shorter
 prefixes, for the records that have no verified partner yet, until the recall promised for
 a pair right at the threshold, 1 - (1 - t^d)^TREES, reaches the target. Candidates are
-verified exactly on their sorted word arrays. A batch's own labels become another run, and
-runs are merged now and then, so the history's texts are never read again.
+verified exactly on their sorted word arrays. A batch's own labels become another run. In a
+kept folder the word arrays, the places and the bank's residue are kept with the runs: a later
+batch takes its partners from there, and an unchanged bank is asked for its ids only. If the
+bank has changed, only its new rows are hashed; which of its rows are residue depends on all
+of its stems, so that is then judged anew.
 """
 
 from __future__ import annotations
@@ -181,26 +184,80 @@ def _prefix_bits(own: DataFrame) -> bytes:
     return bitmap.tobytes()
 
 
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of a kept folder; without rows before it is first written."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+
+
+def _add_bank(spark: SparkSession, folder: str, forest: HashForest, bank: DataFrame, columns: list[str]) -> None:
+    """Brings the kept folder up to the bank: hashes rows not seen yet (or with another updated_at), forgets rows that are gone.
+
+    Rows are noted as seen after all else is written: a run that broke off is repeated.
+    """
+    seen = "id string, version string, set_hash long"
+    version = F.coalesce(F.col("updated_at").cast("string"), F.lit("")) if "updated_at" in bank.columns else F.lit("")
+    state = bank.select(F.col("id").cast("string").alias("id"), version.alias("version")).persist()
+    kept = _kept(spark, f"{folder}/bank", seen)
+    fresh = state.join(kept, ["id", "version"], "left_anti").persist()
+    valid = kept.join(state, ["id", "version"], "left_semi").checkpoint()
+    is_fresh, is_gone = not fresh.isEmpty(), valid.count() < kept.count()
+    if is_fresh:
+        sets = word_sets(bank.join(fresh.select("id"), "id", "left_semi").select("id", *columns), "id").persist()
+        forest.append(sets)
+        sets.select("set_hash", "words").write.mode("append").parquet(f"{folder}/sets")
+    if is_fresh or is_gone:
+        template_residue(bank).write.mode("overwrite").parquet(f"{folder}/residue")
+    if is_gone:
+        valid.write.mode("overwrite").parquet(f"{folder}/bank")
+    if is_fresh:
+        sets.join(fresh, "id").select("id", "version", "set_hash").write.mode("append").parquet(f"{folder}/bank")
+
+
+def _add_batch(spark: SparkSession, folder: str, bank: DataFrame, new: DataFrame, columns: list[str]) -> tuple[HashForest, DataFrame, DataFrame]:
+    """The kept forest with the bank and a batch in it, the arrays of all its sets, and the earliest place of each."""
+    forest = HashForest(spark, f"{folder}/labels")
+    _add_bank(spark, folder, forest, bank, columns)
+    forest.append(new)
+    new.select("set_hash", "words").write.mode("append").parquet(f"{folder}/sets")
+    new.groupBy("set_hash").agg(F.min("raw_id").alias("first")).write.mode("append").parquet(f"{folder}/incoming")
+    residue = _kept(spark, f"{folder}/residue", "question_id string")
+    accepted = _kept(spark, f"{folder}/bank", "id string, version string, set_hash long").join(residue, F.col("id") == F.col("question_id"), "left_anti")
+    earlier = _kept(spark, f"{folder}/incoming", "set_hash long, first long")
+    first = _places(earlier, accepted).checkpoint()
+    return forest, _kept(spark, f"{folder}/sets", "set_hash long, words binary"), first
+
+
+def _places(incoming: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(set_hash, first): the earliest place of each set, before all records if the bank has it."""
+    every = incoming.select("set_hash", "first").union(accepted.select("set_hash", F.lit(-(1 << 62)).alias("first")).distinct())
+    return every.groupBy("set_hash").agg(F.min("first").alias("first"))
+
+
 def repeated_records(incoming: DataFrame, bank: DataFrame, folder: str | None = None, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
     """(raw_id) of incoming records that repeat a bank question or an incoming record of a smaller raw_id.
 
     Template residue of the bank takes no part; an incoming record without any word repeats
-    only another such. folder: a forest of the bank's sets that is kept; without one it is
-    built in the shared checkpoint folder.
+    only another such. folder: where the forest is kept from batch to batch; incoming is then
+    the next batch alone, and is held against all earlier ones too. Without a folder a forest
+    is built in the shared checkpoint folder for this call.
     """
     spark = incoming.sparkSession
     home = use_checkpoint_dir(spark)
     columns = ["stem", "options_json", "subparts_json"]
-    known = word_sets(bank.select("id", *columns), "id").persist()
     new = word_sets(incoming.select("raw_id", *columns), "raw_id").persist()
-    residue = template_residue(bank)
-    accepted = known.select("id", "set_hash").join(residue, F.col("id") == F.col("question_id"), "left_anti").select("set_hash").distinct()
-    forest = HashForest(spark, folder or f"{home}/forest-{uuid.uuid4()}")
-    if folder is None:
+    if folder is not None:
+        forest, arrays, first = _add_batch(spark, folder, bank, new, columns)
+    else:
+        known = word_sets(bank.select("id", *columns), "id").persist()
+        residue = template_residue(bank)
+        accepted = known.select("id", "set_hash").join(residue, F.col("id") == F.col("question_id"), "left_anti")
+        forest = HashForest(spark, f"{home}/forest-{uuid.uuid4()}")
         forest.append(known)
-    forest.append(new)
-    # the earliest place of each set: before all records if the bank has it
-    first = new.groupBy("set_hash").agg(F.min("raw_id").alias("first")).union(accepted.select("set_hash", F.lit(-(1 << 62)).alias("first"))).groupBy("set_hash").agg(F.min("first").alias("first")).persist()
-    earliest = forest.earliest(new, known.select("set_hash", "words").union(new.select("set_hash", "words")), first, threshold, target)
+        forest.append(new)
+        arrays = known.select("set_hash", "words").union(new.select("set_hash", "words"))
+        first = _places(new.groupBy("set_hash").agg(F.min("raw_id").alias("first")), accepted).persist()
+    earliest = forest.earliest(new, arrays, first, threshold, target)
     rows = new.select("raw_id", "set_hash").join(first, "set_hash").join(earliest.withColumnRenamed("a", "set_hash"), "set_hash", "left")
     return rows.filter((F.col("first") < F.col("raw_id")) | (F.col("linked") < F.col("raw_id"))).select("raw_id")

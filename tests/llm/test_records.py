@@ -134,6 +134,29 @@ def test_recall_against_brute_force(spark, plain_bank):
     assert len(out) >= 0.97 * len(truth)
 
 
+def test_successive_batches_on_one_folder(spark, plain_bank, monkeypatch, tmp_path):
+    rows = bank(150, seed=1)
+    known, new = rows[:40], [(i, *r[1:]) for i, r in enumerate(rows[40:])]
+    sets, own = sets_of(known), sets_of(new)
+    like = lambda a, b: a == b or a and b and len(a & b) >= 0.7 * len(a | b) - 1e-9
+    truth = {i for i, a in own.items() if any(like(a, b) for b in sets.values()) or any(j < i and like(a, b) for j, b in own.items())}
+    run = lambda batch, questions: [r.raw_id for r in forest.repeated_records(spark.createDataFrame(batch, INCOMING), spark.createDataFrame(questions, QUESTION), str(tmp_path / "kept")).collect()]
+    out = run(new[:60], known)
+    unread = [(r[0], "nessuno legge", None, None) for r in known]  # the bank's texts are not read again
+    monkeypatch.setattr(forest, "template_residue", None)
+    out += run(new[60:], unread)
+    assert len(out) == len(set(out)) and set(out) <= truth
+    assert len(out) >= 0.97 * len(truth)
+    only_earlier = {i for i in truth if i >= 60 and not any(like(own[i], b) for b in sets.values()) and not any(60 <= j < i and like(own[i], b) for j, b in own.items())}
+    assert only_earlier & set(out)
+    # a bank that has changed: one row more, one residue, one gone
+    monkeypatch.setattr(forest, "template_residue", lambda q, *_: q.filter("id = 'n1'").selectExpr("id AS question_id"))
+    some = [("n0", "alfa beta gamma delta", None, None), ("n1", "uno due tre quattro", None, None), ("n2", "sole luna stella pianeta", None, None)]
+    assert run([(900, "vuoto xyz", None, None)], [*unread, *some]) == []
+    assert run([(901, "alfa beta gamma delta", None, None), (902, "uno due tre quattro", None, None), (903, "sole luna stella pianeta", None, None)], [*unread, *some[:2]]) == [901]
+    assert sorted(run([(910, "uno due tre quattro", None, None), (911, "sole luna stella pianeta", None, None)], [*unread, *some[:2]])) == [910, 911]
+
+
 def test_search_finds_partners(spark, tmp_path):
     rows = bank(60, seed=5)
     sets = words.word_sets(spark.createDataFrame(rows, QUESTION), "id").persist()
