@@ -2,11 +2,11 @@
 
 A set of words is hashed into TREES labels, each the digests of DEPTH min-wise hashes in
 order. The labels of accepted sets lie in a shared folder as runs: Parquet files sorted by
-(tree, label). The labels of a batch are looked up in them by range: a prefix of d digests
-is a range of labels, and the search begins with whole labels and widens to shorter
-prefixes, for the records that have no verified partner yet, until the recall promised for
-a pair right at the threshold, 1 - (1 - t^d)^TREES, reaches the target. Candidates are
-verified exactly on their sorted word arrays. A batch's own labels become another run. In a
+(tree, label). The labels of a batch are looked up in them by equality, all runs being read
+through a bitmap of what is asked for. The search begins with whole labels; for records that
+have no verified partner yet, shorter prefixes follow until the recall promised for a pair
+right at the threshold, 1 - (1 - t^d)^TREES, reaches the target. At the target RECALL whole
+labels suffice and nothing is widened. Candidates are verified exactly on their sorted word arrays. A batch's own labels become another run. In a
 kept folder the word arrays, the places and the bank's residue are kept with the runs: a later
 batch takes its partners from there, and an unchanged bank is asked for its ids only. If the
 bank has changed, only its new rows are hashed; which of its rows are residue depends on all
