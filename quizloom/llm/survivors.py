@@ -5,8 +5,9 @@ Skyline selection. The criteria are trust (not discarded, confidence), completen
 undominated records, which loses nothing: the skyline of a union is that of the parts'
 skylines. So a group that holds a third of all rows reaches its task as a few records. The
 lexicographic policy then picks the keeper among the undominated. A field the keeper lacks
-comes from the first record in policy order that has it. The policy order never puts a
-record before one that dominates it, so this walks the dominance layers downwards.
+comes from the first dominance layer in which a record has it, there from the first in policy
+order. A layer is the skyline of what the layers above it leave; the layers are told apart on
+the distinct criteria of a group, which one task gets in policy order.
 
 Null fingerprints form no group. Null confidence, counts and dates rank last; a null
 is_discarded counts as not discarded. Ties end at the smaller id.
@@ -53,6 +54,63 @@ def undominated(values: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
+def layers(values: np.ndarray) -> np.ndarray:
+    """Dominance layer (0: undominated) of each row of an array sorted by policy (best first, distinct rows).
+
+    What a layer dominates, the layers above it dominate too, so a row's layer is found by bisection.
+    """
+    out = np.zeros(len(values), dtype=np.int64)
+    fronts: list[np.ndarray] = []
+    sizes: list[int] = []
+    for i, row in enumerate(values):
+        low, high = 0, len(fronts)
+        while low < high:
+            mid = (low + high) // 2
+            if (fronts[mid][: sizes[mid]] >= row).all(axis=1).any():
+                low = mid + 1
+            else:
+                high = mid
+        if low == len(fronts):
+            fronts.append(np.empty((4, values.shape[1]), values.dtype))
+            sizes.append(0)
+        elif sizes[low] == len(fronts[low]):
+            fronts[low] = np.concatenate([fronts[low], np.empty_like(fronts[low])])
+        fronts[low][sizes[low]] = row
+        sizes[low] += 1
+        out[i] = low
+    return out
+
+
+def _layers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, criteria) come sorted by group and policy; a group's are held until it ends."""
+    held: list[pa.RecordBatch] = []
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        fp = table.column("fp").to_pylist()
+        values = np.stack([table.column(c).to_numpy() for c in CRITERIA], axis=1)
+        edges = [0, *(i for i in range(1, len(fp)) if fp[i] != fp[i - 1]), len(fp)]
+        layer = np.concatenate([layers(values[i:j]) for i, j in zip(edges, edges[1:])])
+        yield from table.append_column("layer", pa.array(layer)).to_batches()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last, own = batch.column(0)[-1].as_py(), batch.column(0).to_pylist()
+        cut = len(own)
+        while cut and own[cut - 1] == last:
+            cut -= 1
+        # what is held is one group; it ends here unless the whole batch belongs to it
+        if held and (cut or held[-1].column(0)[-1].as_py() != last):
+            yield from done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield from done(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+    if held:
+        yield from done(pa.Table.from_batches(held))
+
+
 def _reduce(table: pa.Table) -> pa.Table:
     """The undominated records of each group of a table, in policy order; of equal ones the smaller id."""
     table = table.sort_by([("fp", "ascending"), *[(c, "descending") for c in CRITERIA], ("id", "ascending")])
@@ -123,24 +181,27 @@ def found_survivors(questions: DataFrame) -> DataFrame:
     return keepers(questions).select("dedupe_fingerprint", "keeper_id", "files_from_id")
 
 
-#: Fields a survivor takes from the first record in policy order that has them.
+#: Fields a survivor takes from the first layer with a record that has them.
 FILLED = ("document_id", "section", "question_type", "language", "difficulty", "confidence", "occurrences_count", "page_start", "page_end", "solution_json")
 
 
-def _policy(*more: Column) -> Column:
-    return F.struct((-F.col("kept")).alias("a"), (-F.col("confidence_rank")).alias("b"), (-F.col("occurrences")).alias("c"), (-F.col("updated")).alias("d"), F.col("id").alias("e"), *more)
+def _policy() -> Column:
+    return F.struct((-F.col("kept")).alias("a"), (-F.col("confidence_rank")).alias("b"), (-F.col("occurrences")).alias("c"), (-F.col("updated")).alias("d"), F.col("id").alias("e"))
 
 
 def survivors(questions: DataFrame) -> DataFrame:
     """One row per fingerprint of two or more: its keeper, and its fields filled downwards through the layers.
 
     Aggregates combine before the shuffle, so a hot group costs its task one partial row per
-    map task. source_files_json is that of the member with the most distinct names.
+    map task; the layers cost it the group's distinct criteria. source_files_json is that of the member with the most distinct names.
     """
-    ranks = criteria(questions).withColumnRenamed("confidence", "confidence_rank").select("id", "kept", "confidence_rank", "occurrences", "updated", "files")
+    every = criteria(questions)
+    distinct = every.select("fp", *CRITERIA).distinct().repartition("fp").sortWithinPartitions("fp", *[F.col(c).desc() for c in CRITERIA])
+    layered = distinct.mapInArrow(_layers, "fp string, kept long, confidence long, occurrences long, updated long, layer long")
+    ranks = every.join(layered, ["fp", *CRITERIA]).withColumnRenamed("confidence", "confidence_rank").select("id", "kept", "confidence_rank", "occurrences", "updated", "files", "layer")
     rows = questions.filter("dedupe_fingerprint IS NOT NULL").select("id", "dedupe_fingerprint", "source_files_json", *FILLED).join(ranks, "id")
     usable = lambda c: F.when(F.col(c).cast("string").isNotNull() & ~F.trim(F.col(c).cast("string")).isin("", "{}"), F.col(c))
-    fill = [F.min(F.when(usable(c).isNotNull(), _policy(usable(c).alias("value"))))["value"].alias(c) for c in FILLED]
+    fill = [F.min(F.when(usable(c).isNotNull(), F.struct("layer", _policy().alias("policy"), usable(c).alias("value"))))["value"].alias(c) for c in FILLED]
     out = rows.groupBy("dedupe_fingerprint").agg(
         F.count("*").alias("members"),
         F.min(_policy())["e"].alias("keeper_id"),

@@ -231,6 +231,24 @@ def test_the_skyline_is_that_of_brute_force():
     assert survivors.undominated(values).tolist() == brute
 
 
+def test_nulls_are_filled_layer_by_layer(spark):
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 5, (120, 4)), axis=0)[::-1]
+    left, layer, brute = list(range(len(values))), 0, np.zeros(len(values), int)
+    while left:
+        top = [i for i in left if not any((values[j] >= values[i]).all() and j != i for j in left)]
+        brute[top] = layer
+        left, layer = [i for i in left if i not in top], layer + 1
+    assert survivors.layers(values).tolist() == brute.tolist()
+    day = lambda d: dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc)
+    rows = [("a", "f", 0.9, 2, day(3), None), ("b", "f", 0.5, 5, day(1), "from b"), ("c", "f", 0.8, 1, day(2), "from c"), ("d", "g", 0.8, 1, day(2), "d"), ("e", "g", 0.8, 1, day(2), None)]
+    df = spark.createDataFrame(rows, "id string, dedupe_fingerprint string, confidence double, occurrences_count int, updated_at timestamp, section string")
+    missing = [c for c in survivors.FILLED if c not in df.columns]
+    df = df.selectExpr("*", "false AS is_discarded", "'[]' AS source_files_json", *[f"cast(null AS string) AS {c}" for c in missing])
+    out = {r.dedupe_fingerprint: (r.keeper_id, r.section) for r in survivors.survivors(df.repartition(3)).collect()}
+    assert out == {"f": ("a", "from b"), "g": ("d", "d")}
+
+
 def test_sql_agrees(spark, data):
     con = connect(data)
     for name, sql in ORACLES.items():
