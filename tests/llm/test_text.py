@@ -152,6 +152,12 @@ def test_scan_noise_is_found_and_repaired(spark):
     assert fixed["h0", "stem"] == ["Il server autoritativo risponde con un messaggio di errore quando la coda supera la soglia."]
 
 
+def test_words_spread_over_partitions_are_counted(spark):
+    rows = [(f"s{i}", f"Il nodo {i} usa store-and-forward verso la dorsale.", None, None, "it") for i in range(20)]
+    lexicon = scans.lexicon_of(scans.texts_of(spark.createDataFrame(spark.sparkContext.parallelize(rows, 20), QUESTION)))
+    assert lexicon.counts["dorsale"] == 20 and lexicon.terms["store-and"] == 20
+
+
 def test_no_noise_in_an_empty_table(spark):
     assert scans.found_noise(spark.createDataFrame([], QUESTION)).collect() == []
 
