@@ -99,28 +99,49 @@ class TokenHashes(dict):
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
-class Speech(dict):
-    """Token -> 2 if STRONG, 1 if another word of SPEAKS or a word of its phrases, 0 otherwise; numbers are 0. Forgets all once it holds too many."""
+# The single words of SPEAKS and of its phrases, those STRONG alone, and the endings and beginning that make further ones.
+SAID = frozenset(
+    b"""errore error exception traceback forbidden timeout unavailable accesso access login autenticazione sessione session permesso permessi denied
+    negato robot captcha javascript script scripts browser cookie ricarica aggiorna riprova richiesta richieste caricamento loading oops manutenzione
+    maintenance prova esempio provvisorio provvisoria sostituire completare inserire segnaposto placeholder asdf qwer bla todo xxx testo""".split()
+) | frozenset(PHRASES)
+LOUD = frozenset(
+    b"traceback forbidden unavailable negato denied captcha javascript oops manutenzione maintenance ricarica riprova riprovare segnaposto placeholder asdf qwer".split()
+) | (frozenset(PHRASES) - {b"esiste"})
+ENDINGS, BEGINNING = (b"error", b"exception"), b"riprova"
+#: What a text with one such word has to hold so that a piece of it may be a message.
+MORE = re.compile(rb"error|(?:^| )[45]\d\d(?: |$)")
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        word = PHRASES.get(token, token).decode("latin-1")
-        h = self[token] = 0 if token.isdigit() else 2 if STRONG.fullmatch(word) else 1 if SPEAKS.fullmatch(word) else 0
-        return h
 
-    def said(self, tokens: list[bytes]) -> set[bytes]:
-        """The words of SPEAKS, and of its phrases, that are in the text of the tokens."""
-        found = set(filter(self.__getitem__, tokens))
-        if not found.isdisjoint(PHRASES):
-            text = b" %s " % b" ".join(tokens)
-            found = {t for t in found if t not in PHRASES or b" %s " % PHRASES[t] in text}
-        return found
+def _low(text: str) -> bytes:
+    """The text in lower case, all but words as blanks; characters beyond Latin-1 part words."""
+    return text.lower().encode("latin-1", "replace").translate(PARTS)
 
 
 def _tokens(text: str) -> list[bytes]:
-    """Words in lower case; characters beyond Latin-1 part them."""
-    return text.lower().encode("latin-1", "replace").translate(PARTS).split()
+    """Words in lower case."""
+    return _low(text).split()
+
+
+def said(low: bytes, tokens: list[bytes]) -> set[bytes]:
+    """The words of SPEAKS, and of its phrases, that are in a text (as _low gives it, and its tokens)."""
+    found = set(SAID.intersection(tokens))
+    if b"error" in low or b"exception" in low or BEGINNING in low:
+        found.update(t for t in tokens if t.endswith(ENDINGS) or t.startswith(BEGINNING))
+    if not found.isdisjoint(PHRASES):
+        text = b" %s " % b" ".join(tokens)
+        found = {t for t in found if t not in PHRASES or b" %s " % PHRASES[t] in text}
+    return found
+
+
+def strong(token: bytes) -> bool:
+    """One such word says enough."""
+    return token in LOUD or token.endswith(ENDINGS) and token not in ENDINGS
+
+
+def may_be_message(low: bytes, found: set[bytes]) -> bool:
+    """Whether some piece of a text with these words of SPEAKS can have the evidence a message needs."""
+    return len(found) > 1 or any(map(strong, found)) or bool(found and MORE.search(low))
 
 
 def _mix(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
@@ -134,25 +155,27 @@ def _clean(stem: str) -> str:
     return TAG.sub(" ", stem) if "<" in stem else stem
 
 
-def _words(stem: str, speech: Speech) -> tuple[list[bytes], list[bool] | None]:
+def _words(stem: str) -> tuple[list[bytes], list[bool] | None]:
     """Tokens of a stem between two begin and two end marks, markers become marks; and, unless all are, which are calm.
 
     A token is calm if its sentence speaks of no errors, access, scripts or provisional text.
     """
     if any(c in stem for c in "{}<>[]%_") or "undefined" in stem or "NaN" in stem:
         stem = MARKER.sub(" \x00 ", _clean(stem))
-    words = _tokens(stem)
-    if not speech.said(words):
+    low = _low(stem)
+    words = low.split()
+    if not said(low, words):
         return [BOS, BOS, *words, EOS, EOS], None
     words, calm = [BOS, BOS], [False, False]
     for piece in PIECES.split(stem):
-        own = _tokens(piece)
+        low = _low(piece)
+        own = low.split()
         words += own
-        calm += [not speech.said(own)] * len(own)
+        calm += [not said(low, own)] * len(own)
     return [*words, EOS, EOS], [*calm, False, False]
 
 
-def _messages(stem: str, speech: Speech) -> Iterator[tuple[str, str, list[bytes], list[bool]]]:
+def _messages(stem: str) -> Iterator[tuple[str, str, list[bytes], list[bool]]]:
     """Of each sentence and line that speaks of such things: its kind, its template, its tokens, and which pairs tell something.
 
     A "part" may be a message, an "ask" is none; of a sentence of several lines, a "whole", the lines are counted instead.
@@ -165,21 +188,22 @@ def _messages(stem: str, speech: Speech) -> Iterator[tuple[str, str, list[bytes]
         if len(lines) > 1:
             pieces.setdefault(piece, "whole")
     for piece, kind in pieces.items():
-        tokens = _tokens(piece)
-        said = speech.said(tokens)
-        if not said or len(tokens) < 2:
+        low = _low(piece)
+        tokens = low.split()
+        found = said(low, tokens)
+        if not found or len(tokens) < 2:
             continue
-        evidence = len(said) + bool(STATUS.match(piece))
-        strong = any(speech[t] == 2 for t in said)
-        if not strong and evidence < 2:
+        evidence = len(found) + bool(STATUS.match(piece))
+        loud = any(map(strong, found))
+        if not loud and evidence < 2:
             continue
-        if "?" in piece or not strong and len(tokens) > WORDY * evidence:
+        if "?" in piece or not loud and len(tokens) > WORDY * evidence:
             if kind == "whole":
                 continue
             kind = "ask"
         upper = [t.decode("latin-1")[:1].isupper() for t in piece.encode("latin-1", "replace").translate(PARTS).split()]
         title = 2 * sum(upper) > sum(not t[:1].isdigit() for t in tokens)
-        plain = [i == 0 or not u or title or t in said for i, (u, t) in enumerate(zip(upper, tokens))]
+        plain = [i == 0 or not u or title or t in found for i, (u, t) in enumerate(zip(upper, tokens))]
         yield kind, _mask(piece), tokens, [a and b for a, b in zip(plain, plain[1:])]
 
 
@@ -194,8 +218,10 @@ def filler_run(words: list[str]) -> bool:
         run = run + 1 if w in FILLER_WORDS else 0
         if run >= 6:
             return True
-    head = max((words.count(w) for w in words), default=0)
-    return 3 <= len(words) <= 8 and head >= 3 and head * 2 > len(words)
+    if not 3 <= len(words) <= 8:
+        return False
+    head = max(map(words.count, words))
+    return head >= 3 and head * 2 > len(words)
 
 
 def _markers(stem: str) -> tuple[list[tuple[str, str, list[bytes]]], bool]:
@@ -212,16 +238,17 @@ def _markers(stem: str) -> tuple[list[tuple[str, str, list[bytes]]], bool]:
     return [(k, t, [pieces[i - 2], pieces[i - 1], pieces[i + 1], pieces[i + 2]]) for k, t, i in found], bare
 
 
-def _suspect(stem: str, speech: Speech) -> bool:
+def _suspect(stem: str) -> bool:
     if len(stem) <= SHORT_PAGE or any(map(stem.__contains__, SUSPECT)):
         return True
-    tokens = _tokens(stem)
-    return len(tokens) <= 8 or RUN in bytes(map(FILLER_BYTES.__contains__, tokens)) or bool(speech.said(tokens))
+    low = _low(stem)
+    tokens = low.split()
+    return len(tokens) <= 8 or RUN in bytes(map(FILLER_BYTES.__contains__, tokens)) or may_be_message(low, said(low, tokens))
 
 
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each suspect stem: its markers with their frames, the templates of the page and of possible messages with word pairs, or filler."""
-    hashes, speech, unifier = TokenHashes(), Speech(), None
+    hashes, unifier = TokenHashes(), None
     names = ["question_id", "kind", "sign", "frames"]
     for batch in batches:
         out: list[list] = [[], [], [], []]
@@ -231,7 +258,7 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(value)
 
         # only stems with a marker, filler or a word of messages, and short pages, can be residue; or with letters that hide one
-        suspects = [(q, s) for q, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if s and (_suspect(s, speech) or latin_bytes(s) is None)]
+        suspects = [(q, s) for q, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if s and (_suspect(s) or latin_bytes(s) is None)]
         odd = [i for i, (_, s) in enumerate(suspects) if latin_bytes(s) is None]
         if odd:  # in the consistent form, their words meet those of other records
             unifier = unifier or Unifier()
@@ -240,8 +267,10 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for qid, stem in suspects:
             if not stem.strip():
                 continue
-            tokens = _tokens(_clean(stem))
+            low = _low(_clean(stem))
+            tokens = low.split()
             words = WORD.findall(_clean(stem).lower()) if len(stem) <= SHORT_PAGE or len(tokens) <= 8 else []
+            spoken = said(low, tokens)
             found, bare = _markers(stem) if any(map(stem.__contains__, SUSPECT)) else ([], False)
             if RUN in bytes(map(FILLER_BYTES.__contains__, tokens)) or filler_run(words) or (bare and found):
                 add(qid, "certain", "", [])
@@ -253,11 +282,12 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = hashes.of(tokens)
                 pairs = np.unique(_mix(h[:-1], h[1:], 4)) if len(h) > 1 else h
                 mask = _mask(_clean(stem))
-                terse = len(words) <= 10 and "?" not in stem and SPEAKS.search(stem)
-                add(qid, "page!" if terse and STATUS.match(stem) else "page-" if terse else "page+" if SPEAKS.search(stem) else "page", mask, _signed(pairs))
-            if not speech.said(tokens):
+                speaks = spoken or (b"4" in low or b"5" in low) and SPEAKS.search(stem)
+                terse = len(words) <= 10 and "?" not in stem and speaks
+                add(qid, "page!" if terse and STATUS.match(stem) else "page-" if terse else "page+" if speaks else "page", mask, _signed(pairs))
+            if not may_be_message(low, spoken):
                 continue
-            for kind, mask, tokens, telling in _messages(_clean(stem), speech):
+            for kind, mask, tokens, telling in _messages(_clean(stem)):
                 if kind != "ask" and filler_run(WORD.findall(mask)):
                     add(qid, "certain", "", [])
                 elif any(telling):
@@ -274,13 +304,13 @@ def _frames(wanted: bytes):  # noqa: ANN202
     """Counts, over all stems, of the frames and word pairs whose bit is set in wanted."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, speech, bits = TokenHashes(), Speech(), np.frombuffer(wanted, dtype=np.uint8)
+        hashes, bits = TokenHashes(), np.frombuffer(wanted, dtype=np.uint8)
         mark = np.uint64(hashes[MARK])
         for batch in batches:
             texts = [s for s in batch.column(0).to_pylist() if s]
             if not texts:
                 continue
-            stems, calm = zip(*(_words(s, speech) for s in texts))
+            stems, calm = zip(*map(_words, texts))
             sizes = np.array([len(s) for s in stems])
             h = hashes.of([w for s in stems for w in s])
             row = np.repeat(np.arange(len(stems)), sizes)
