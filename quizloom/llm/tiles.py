@@ -5,8 +5,13 @@ rows that share one of their rarest words, ordered by size, so that a row is com
 with rows of the sizes it can be similar to. A hashed bitmap of 256 bits bounds the overlap
 from above (no more words can be shared than the differing bits leave); only pairs that
 pass are intersected exactly on their sorted arrays. Every step is exact: the words within
-the first n - ceil(t n) + 1 in rarity order of two similar sets always meet, and a tile of a
-hot word is split by the second shared word, which then lies within one position more.
+the first n - ceil(t n) + 1 in rarity order of two similar sets always meet. A tile that
+would hold more than HOT_TILE rows is split by the next shared word, which then lies within
+one position more, and so on until the tiles are small: which words are split further depends
+on the words alone, so both sets of a pair do the same.
+
+The rows of a task's tiles travel as one packed block a bucket of tiles, so that the shuffle
+handles few long rows; a bucket holds some megabytes, whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -26,8 +31,12 @@ THRESHOLD = 0.7
 #: A word is common if so many of the sets hold it; the table of common words that every
 #: task gets then has at most (words per set) / COMMON_SHARE rows, whatever the data's size.
 COMMON_SHARE = 0.001
-#: Tiles of words held by more sets than this are split by the second shared word.
-HOT_WORD = 500_000
+#: Tiles expected to hold more rows than this are split by the next shared word, up to DEEPEST words.
+HOT_TILE, DEEPEST = 20_000, 4
+#: Entries of the table of common words at most (24 MB); up to some 280 million questions it holds every word of HOT_TILE sets.
+TABLE = 1_000_000
+#: Bytes of tile rows a bucket is to hold.
+BUCKET = 8 << 20
 #: Rows compared at once with the rows of a large tile, and the length of such a row.
 BLOCK, WIDE = 64, 512
 #: Bits of the bitmap that says which sets have candidates: 2 MB whatever the data's size.
@@ -47,14 +56,23 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(words[seen].astype(np.int64)), pa.array(counts[seen].astype(np.int64))], ["word", "n"])
 
 
-def common_words(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted words, their ranks by frequency, their counts) of the common words."""
-    least = max(8, int(total * COMMON_SHARE))
-    rows = sets.select("words").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    table = rows.orderBy("n", "word").toArrow()
-    words, counts = table.column("word").to_numpy().astype(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(words)
-    return words[order], np.arange(len(words))[order].astype(np.int64), counts[order]
+class Common:
+    """The common words: sorted, with their ranks by frequency and their share of all sets."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int) -> None:
+        by = np.lexsort((words, counts))
+        ranks = np.empty(len(words), np.int64)
+        ranks[by] = np.arange(len(words))
+        order = np.argsort(words)
+        self.words, self.ranks, self.share, self.total = words[order], ranks[order], counts[order] / max(total, 1), total
+
+
+def common_words(sets: DataFrame, total: int) -> Common:
+    """Words of at least COMMON_SHARE of the sets or of HOT_TILE sets, at most TABLE."""
+    counts = sets.select("words").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    least = max(8, min(int(total * COMMON_SHARE), HOT_TILE))
+    table = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(TABLE).toArrow()
+    return Common(table.column("word").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.int64), total)
 
 
 SIGNATURE = ("s0", "s1", "s2", "s3")
@@ -78,13 +96,68 @@ def _signatures(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float):  # noqa: ANN201
-    """Arrow function: each set's row in each of its tiles; copies met in one task give rows once."""
+#: A row of a tile: the set, its size, the place of the tile's (first) word in it, its bitmap.
+ROW = np.dtype([("tile", "<u8"), ("id", "<i8"), ("n", "<i4"), ("place", "<i4"), ("signature", "<u8", (4,))])
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def tile_keys(words: np.ndarray, starts: np.ndarray, common: Common, threshold: float, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, place of the first word) of each tile of each set; words come in any order within their set.
+
+    Tiles of several words are marked by their upper bits, which hashes of words do not use.
+    """
+    sizes = np.diff(starts)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    known = common.words
+    at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+    is_common = known[at] == words if len(known) else np.zeros(len(words), bool)
+    # rare words first, by hash as they come, then the common ones by rank: one key of row and place
+    within = words >> np.uint64(1)
+    share = np.zeros(len(words))
+    if len(known):
+        within = np.where(is_common, np.uint64(1 << 47) | common.ranks[at].astype(np.uint64), within)
+        share = np.where(is_common, common.share[at], 0.0)
+    order = np.argsort((row.astype(np.uint64) << np.uint64(48)) | within, kind="stable")
+    words, share = words[order], share[order]
+    position = np.arange(len(words)) - np.repeat(starts[:-1], sizes)
+    n = np.repeat(sizes, sizes)
+    least = np.ceil(threshold * n - 1e-9).astype(np.int64)  # words shared with any similar set
+    reach = n - least + 1
+    last = np.flatnonzero(position < reach)
+    first, key, expected = last, words[last], share[last] * common.total
+    keys, rows, places = [], [], []
+    for depth in range(1, DEEPEST + 1):
+        # a set with so few words may share no further one: its tile stays, and is split besides
+        done = (expected <= hot) | (depth == DEEPEST) | (least[last] <= depth)
+        split = (expected > hot) & (depth < DEEPEST)
+        keys.append(key[done])
+        rows.append(row[first[done]])
+        places.append(position[first[done]])
+        if not split.any():
+            break
+        first, key, last, expected = first[split], key[split], last[split], expected[split]
+        many = np.maximum(np.minimum(reach[last] + depth, n[last]) - position[last] - 1, 0)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        first, key, expected, last = np.repeat(first, many), np.repeat(key, many), np.repeat(expected, many), np.repeat(last, many) + 1 + step
+        with np.errstate(over="ignore"):
+            key = (key * MIX ^ words[last]) * MIX | ~LOW48
+        expected = expected * share[last]
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = keys * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        return ((x * MIX) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def tile_blocks(common: Common, threshold: float, hot: int, buckets: int):  # noqa: ANN201
+    """Arrow function: the rows of each set in each of its tiles, packed by bucket; copies met in one task give rows once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks, counts = common
         seen: set[int] = set()
-        for batch in (b.slice(i, 1 << 16) for b in batches for i in range(0, b.num_rows, 1 << 16)):
+        for batch in (b.slice(i, 1 << 15) for b in batches for i in range(0, b.num_rows, 1 << 15)):
             fresh = []
             for i, x in enumerate(batch.column(0).to_pylist()):
                 if x not in seen:
@@ -93,39 +166,18 @@ def tile_rows(common: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: floa
             if not fresh:
                 continue
             batch = batch.take(pa.array(fresh))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             words, starts = unpack_all(batch.column(1))
-            signature = [s.view(np.int64) for s in _signatures(words, starts)]
-            sizes = np.diff(starts)
-            row = np.repeat(np.arange(len(ids)), sizes)
-            at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-            is_common = known[at] == words if len(known) else np.zeros(len(words), bool)
-            # rare words first, by hash as they come, then the common ones by rank: one key of row and place
-            within = words >> np.uint64(1)
-            if len(known):
-                within = np.where(is_common, np.uint64(1 << 47) | ranks[at].astype(np.uint64), within)
-            order = np.argsort((row.astype(np.uint64) << np.uint64(48)) | within, kind="stable")
-            words, hot = words[order], (is_common & (counts[at] > HOT_WORD) if len(known) else is_common)[order]
-            position = np.arange(len(words)) - np.repeat(starts[:-1], sizes)
-            n = np.repeat(sizes, sizes)
-            reach = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            plain = np.flatnonzero((position < reach) & ~hot)
-            keys, owners, places = [words[plain].astype(np.int64)], [row[plain]], [position[plain]]
-            i = np.flatnonzero((position < reach) & hot)
-            if len(i):  # the second shared word is at most one place further
-                many = np.minimum(reach[i] + 1, n[i]) - position[i] - 1
-                first = np.repeat(i, many)
-                second = first + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                with np.errstate(over="ignore"):
-                    both = (words[first] * np.uint64(0x9E3779B97F4A7C15) ^ words[second]) | ~LOW48
-                keys.append(both.astype(np.int64))
-                owners.append(row[first])
-                places.append(position[first])
-            key, own, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(ids[own]), pa.array(sizes[own].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(s[own]) for s in signature]],
-                ["tile", "id", "n", "place", *SIGNATURE],
-            )
+            keys, own, places = tile_keys(words, starts, common, threshold, hot)
+            bucket = _bucket_of(keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            own, bucket = own[order], bucket[order]
+            rows = np.empty(len(keys), ROW)
+            rows["tile"], rows["place"] = keys[order], places[order]
+            rows["id"], rows["n"] = batch.column(0).to_numpy(zero_copy_only=False)[own], np.diff(starts)[own]
+            rows["signature"] = np.stack(_signatures(words, starts), axis=1)[own]
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
+            blocks = [rows[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     return each
 
@@ -191,33 +243,29 @@ def _compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray,
     return pairs[0], pairs[1]
 
 
-def _tile_pairs(threshold: float, rows_at_once: int = 400_000):  # noqa: ANN202
-    """Arrow function over rows sorted by tile: candidate pairs. A tile is held whole."""
+def _tile_pairs(threshold: float):  # noqa: ANN202
+    """Arrow function over blocks sorted by bucket: candidate pairs. A bucket is held whole."""
+
+    def pairs(blocks: list[bytes]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(blocks), ROW)
+        order = np.lexsort(((rows["n"].astype(np.int64) << 32) | rows["place"], rows["tile"]))
+        rows = rows[order]
+        signature = [np.ascontiguousarray(rows["signature"][:, i]) for i in range(4)]
+        a, b = _compare(np.ascontiguousarray(rows["tile"]), np.ascontiguousarray(rows["id"]), rows["n"].astype(np.int64), rows["place"].astype(np.int64), signature, threshold)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            table = pa.Table.from_batches(held)
-            key, ids, n, place, *signature = (table.column(i).to_numpy() for i in range(8))
-            cut = len(key) if last else int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-            held = table.slice(cut).combine_chunks().to_batches() if cut < len(key) else []
-            if cut:
-                order = np.lexsort((place[:cut], n[:cut], key[:cut]))
-                a, b = _compare(key[order], ids[order], n[order].astype(np.int64), place[order].astype(np.int64), [s[order].view(np.uint64) for s in signature], threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        count = 0
+        held: list[bytes] = []
+        now = None
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                count += batch.num_rows
-            if count >= rows_at_once:
-                yield from flush(False)
-                count = sum(b.num_rows for b in held) // 2
+            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != now and held:
+                    yield pairs(held)
+                    held = []
+                now = bucket
+                held.append(block)
         if held:
-            yield from flush(True)
+            yield pairs(held)
 
     return each
 
@@ -313,15 +361,19 @@ def candidate_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     sets (set_hash, n_words, words) may repeat a set; it is read several times: persist it.
     """
-    filled = sets.filter("n_words > 0")
-    shared = sets.sparkSession.sparkContext.broadcast(common_words(filled, filled.count()))
+    spark, filled = sets.sparkSession, sets.filter("n_words > 0")
+    total, words = filled.agg(F.count("*"), F.sum("n_words")).first()
+    shared = spark.sparkContext.broadcast(common_words(filled, total))
+    # the rows of a set are about the share of its words beyond the threshold
+    buckets = max(4 * spark.sparkContext.defaultParallelism, int((1 - threshold) * (words or 0)) * ROW.itemsize // BUCKET)
+
+    hot = HOT_TILE
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from tile_rows(shared.value, threshold)(batches)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tile_blocks(shared.value, threshold, hot, buckets)(batches)
 
-    tiles = filled.select("set_hash", "words").mapInArrow(rows, "tile long, id long, n int, place int, s0 long, s1 long, s2 long, s3 long")
-    tiles = tiles.repartition("tile").sortWithinPartitions("tile")  # one long: a radix sort; the rest of the order is made where it is used
-    return tiles.mapInArrow(_tile_pairs(threshold), "a long, b long").distinct()
+    tiles = filled.select("set_hash", "words").mapInArrow(blocks, "bucket long, block binary")
+    return tiles.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tile_pairs(threshold), "a long, b long").distinct()
 
 
 def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

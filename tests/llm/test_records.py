@@ -73,13 +73,32 @@ def plain_bank(monkeypatch, spark):
 
 @pytest.mark.parametrize(("hot", "share"), [(500_000, 0.001), (3, 0.02)])
 def test_groups_are_those_of_brute_force(spark, plain_bank, monkeypatch, hot, share):
-    monkeypatch.setattr(tiles, "HOT_WORD", hot)
+    monkeypatch.setattr(tiles, "HOT_TILE", hot)
     monkeypatch.setattr(tiles, "COMMON_SHARE", share)
     rows = bank()
     out = {(r.question_id_a, r.question_id_b) for r in tiles.duplicate_pairs(spark.createDataFrame(rows, QUESTION)).collect()}
     assert out == groups_of(sets_of(rows))
 
 
+@pytest.mark.parametrize("hot", [1_000_000, 30, 4])
+def test_split_tiles_keep_every_pair_and_stay_small(hot):
+    rng = np.random.default_rng(11)
+    vocabulary = np.unique(rng.integers(0, 1 << 47, 60)).astype(np.uint64)
+    sets = [np.unique(rng.choice(vocabulary, rng.integers(3, 30))) for _ in range(150)]
+    sets += [np.unique(np.r_[s[rng.integers(0, 2) :], rng.choice(vocabulary, 1)]) for s in sets]
+    sets = [np.union1d(s, vocabulary[:1]) for s in sets]  # one word is in every set
+    flat, starts = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+    words_, counts = np.unique(flat, return_counts=True)
+    keys, rows, _ = tiles.tile_keys(flat, starts, tiles.Common(words_, counts, len(sets)), 0.7, hot)
+    own = [set(keys[rows == i].tolist()) for i in range(len(sets))]
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) >= 0.7 * len(np.union1d(sets[i], sets[j])) - 1e-9:
+                assert own[i] & own[j]
+    largest = np.unique(keys, return_counts=True)[1].max()
+    assert hot != 30 or largest < len(sets) / 2
+
+
 def test_large_tiles_give_the_same_pairs():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 40, rng.integers(20, 30))).astype(np.uint64) for _ in range(40)]
