@@ -200,3 +200,12 @@ def test_spam_is_told_from_other_lists(spark):
     out = stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert {r.doc_id for r in out} == set(spam)
     assert stuffing.stuffed_pages(spark.createDataFrame([], "doc_id string, text string")).collect() == []
+
+
+def test_single_keywords_between_commas_and_an_even_corpus(spark):
+    subjects, verbs, objects = ("il router", "la coda", "un server", "il mittente", "la scheda"), ("inoltra", "scarta", "riceve", "conferma"), ("il pacchetto", "una richiesta", "la finestra", "il segmento", "ogni frame")
+    rows = [(f"p{i}", " ".join(f"{subjects[(i + j) % 5].capitalize()} {verbs[(i * j) % 4]} {objects[(i + 2 * j) % 5]} quando {subjects[j % 5]} supera la soglia, perché {subjects[(i + 3 * j) % 5]} attende." for j in range(6))) for i in range(60)]
+    spam = [("commas", "vpn, router, switch, vpn, router, vpn, switch, router, " * 12), ("few", "vpn vpn")]
+    out = stuffing.stuffed_pages(spark.createDataFrame(rows + spam, "doc_id string, text string")).collect()
+    assert {r.doc_id for r in out} == {"commas"}
+    assert stuffing.stuffed_pages(spark.createDataFrame(spam, "doc_id string, text string")).collect() == []  # no prose to compare with
