@@ -39,15 +39,15 @@ def first_by_id(options: Column) -> Column:
 
 def relettered(options: Column) -> Column:
     """The options in order of their canonical text as a, b, c ... and, past z, numbers."""
-    order = F.array_sort(F.transform(options, lambda o: F.struct(X.canonical_option(o["text"]).alias("key"), o["id"].alias("old"), o["text"].alias("text"))))
+    order = F.array_sort(F.transform(options, lambda o: F.struct(X.canonical_clean(o["text"]).alias("key"), o["id"].alias("old"), o["text"].alias("text"))))
     letter = lambda i: F.when(i < 26, F.chr(i + 97)).otherwise((i + 1).cast("string"))
     return F.transform(order, lambda o, i: F.struct(letter(i).alias("id"), o["text"].alias("text")))
 
 
 def fingerprint(kind: Column, stem: Column, options: Column, subparts: Column) -> Column:
     """sha1 of type, stem without numbers, options (by text for multiple choice, else by id) and subparts."""
-    by_text = F.array_join(F.array_sort(F.transform(options, lambda o: X.canonical_option(o["text"]))), "||")
-    by_id = F.array_join(F.transform(options, lambda o: F.concat(o["id"], F.lit(":"), X.canonical_option(o["text"]))), "|")
+    by_text = F.array_join(F.array_sort(F.transform(options, lambda o: X.canonical_clean(o["text"]))), "||")
+    by_id = F.array_join(F.transform(options, lambda o: F.concat(o["id"], F.lit(":"), X.canonical_clean(o["text"]))), "|")
     parts = F.array_sort(F.transform(subparts, lambda s: F.struct(s["id"].alias("id"), X.canonical_text(s["prompt"]).alias("p"))))
     by_part = F.array_join(F.transform(parts, lambda s: F.concat(s["id"], F.lit(":"), s["p"])), "|")
     return F.sha1(F.concat_ws("##", kind, X.without_numbers(X.canonical_text(stem)), F.when(kind == "multiple_choice", by_text).otherwise(by_id), by_part))
@@ -55,7 +55,7 @@ def fingerprint(kind: Column, stem: Column, options: Column, subparts: Column) -
 
 def plain_fingerprint(kind: Column, stem: Column, options: Column) -> Column:
     """sha1 of type, canonical stem with its numbers, and canonical options in given order."""
-    own = F.array_join(F.transform(options, lambda o: X.canonical_option(o["text"])), "|")
+    own = F.array_join(F.transform(options, lambda o: X.canonical_clean(o["text"])), "|")
     return F.sha1(F.concat_ws("##", kind, X.canonical_text(stem), own))
 
 

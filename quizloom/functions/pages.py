@@ -18,6 +18,10 @@ SPLITS = (
     (r"(?<!^)\s(\d{1,2}\.\s)", "\n$1"),
     (r"(?i)(?<!^)\s([a-d]\.\s)", "\n$1"),
 )
+#: The light form splits neither at headings nor before numbers with a bracket.
+LIGHT_SPLITS = SPLITS[2:]
+#: Least quality at which an extraction is good enough, by which the ladder of extractors stops.
+GOOD = 0.45
 
 
 def quality(text: Column) -> Column:
@@ -41,9 +45,22 @@ def clean_lines(text: Column) -> Column:
     return F.filter(lines, kept)
 
 
-def split_markers(text: Column) -> Column:
+def split_markers(text: Column, splits: tuple[tuple[str, str], ...] = SPLITS) -> Column:
     """A line break before every mark that begins a question or an option inside a line."""
     out = F.translate(text, "\t", " ")
-    for pattern, put in SPLITS:
+    for pattern, put in splits:
         out = F.regexp_replace(out, pattern, put)
     return F.regexp_replace(out, " {2,}", " ")
+
+
+def extraction_ladder(extractions: dict[str, Column]) -> Column:
+    """(method, quality, text, is_weak) of the first extraction, in the given order, that is good enough with the ones before
+    it; else the best of all, the earlier on ties. A null text is an extraction that gave nothing.
+
+    Each step is a conditional, so that a later extraction is only made where all earlier ones are weak.
+    """
+    best = None
+    for method, text in extractions.items():
+        own = F.struct(F.lit(method).alias("method"), quality(text).alias("quality"), text.alias("text"))
+        best = own if best is None else F.when(best["quality"] >= GOOD, best).otherwise(F.when(own["quality"] > best["quality"], own).otherwise(best))
+    return F.struct(best["method"].alias("method"), best["quality"].alias("quality"), best["text"].alias("text"), (best["quality"] < GOOD).alias("is_weak"))

@@ -28,18 +28,23 @@ COMPOSED = {
     )
     for base, whole in zip(bases, wholes)
 }
-WHITE = r"[\s\x1c-\x1f\x85\u2028\u2029]+"
+#: Runs of white space but single blanks, which stay as they are.
+_SPACE = r"\s\x1c-\x1f\x85\u2028\u2029"
+WHITE = f" [{_SPACE}]+|[{_SPACE}&&[^ ]][{_SPACE}]*"
+
+
+#: A character that some mapping of this module may change; texts without one skip all of them.
+MAY_CHANGE = r"[^\x00-\x7f\u00c0-\u00ff\u00ab\u00b0\u00b7\u00bb\u2010-\u2025]"
 
 
 def _compat(c: Column) -> Column:
     """NFKC for the forms this module lists."""
-    c = F.translate(c, COMPAT, COMPAT_AS)
+    mapped = F.translate(c, COMPAT, COMPAT_AS)
     for form, plain in LONGER.items():
-        c = F.replace(c, F.lit(form), F.lit(plain))
-    whole = c
+        mapped = F.replace(mapped, F.lit(form), F.lit(plain))
     for pair, letter in COMPOSED.items():
-        whole = F.replace(whole, F.lit(pair), F.lit(letter))
-    return F.when(c.rlike("[\\u0300-\\u036f]"), whole).otherwise(c)
+        mapped = F.replace(mapped, F.lit(pair), F.lit(letter))
+    return F.when(c.rlike(MAY_CHANGE), mapped).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:
@@ -50,21 +55,26 @@ def clean_text(c: Column) -> Column:
 
 
 def without_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, BARE), "[\\u0300-\\u036f]", "")
+    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, BARE), "[\\u0300-\\u036f]+", "")
 
 
 def canonical_text(c: Column) -> Column:
     """Clean text in lower case without accents; runs of other than a-z, 0-9 become one space."""
-    return F.trim(F.regexp_replace(without_accents(clean_text(c)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(without_accents(clean_text(c)), "[^a-z0-9 ]+", " "), " {2,}", " "))
 
 
 def canonical_option(c: Column) -> Column:
     """Like canonical_text, but punctuation stays, so that URLs stay apart."""
-    return F.trim(F.regexp_replace(without_accents(clean_text(c)), r"\s+", " "))
+    return canonical_clean(clean_text(c))
+
+
+def canonical_clean(clean: Column) -> Column:
+    """canonical_option of a text that is clean already."""
+    return F.trim(without_accents(clean))
 
 
 def without_numbers(canonical: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(canonical, r"\b\d+\b", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(canonical, r"\b\d+\b", " "), " {2,}", " "))
 
 
 def slugify(c: Column) -> Column:

@@ -24,8 +24,11 @@ def order_of_survival() -> Column:
 
 
 def keeper_map(questions: DataFrame) -> DataFrame:
-    """(question_id, keeper_id, rank): each question's survivor; rank 0 is the survivor itself, else its order."""
-    ranked = questions.select("id", "fingerprint", order_of_survival().alias("rank"))
+    """(question_id, keeper_id, rank): each question's survivor; rank 0 is the survivor itself, else its order.
+
+    Ids, fingerprints and ranks are kept, so that the texts are read and hashed once for both sides of the join.
+    """
+    ranked = questions.select("id", "fingerprint", order_of_survival().alias("rank")).persist()
     best = ranked.groupBy("fingerprint").agg(F.min("rank")["id"].alias("keeper_id"))
     return ranked.join(best, "fingerprint").select(F.col("id").alias("question_id"), "keeper_id", "rank")
 

@@ -25,6 +25,7 @@ KINDS = (
     ("item", re.compile(r"\s*(\d+)[.)]\s+(.*)$")),
     ("option", re.compile(r"\s*([a-d])\.\s+(.*)$", re.I)),
 )
+SUBPART = re.compile(r"\s*(\d+)\)\s+(.*)$")
 # Confidence by how a question was found.
 CONFIDENCE = {"theory": 0.9, "exercise": 0.85, "choice": 0.95, "thin": 0.6, "open": 0.75}
 
@@ -113,20 +114,51 @@ def parse(lines: list[str]) -> list[Found]:
     return sorted(out, key=lambda q: (q.section, q.number))
 
 
+#: What begins a question in the light form of the parser.
+LIGHT_ITEM = re.compile(r"\s*(\d+)\.\s+(.*)$")
+
+
+def parse_light(lines: list[str]) -> list[Found]:
+    """The questions of a sheet in its order, by the light form: only numbers with a dot begin a question, all of them before
+    theory and exercises, each a multiple choice whatever its options; numbers stay as they are."""
+    out: list[Found] = []
+    count = {"teoria": 0, "esercizio": 0}
+    at = [i for i, x in enumerate(lines) if KINDS[0][1].match(x) or KINDS[1][1].match(x)]
+    first = at[0] if at else len(lines)
+    starts = [i for i in range(first) if LIGHT_ITEM.match(lines[i])]
+    for start, end in zip(starts, [*starts[1:], first]):
+        m, own = LIGHT_ITEM.match(lines[start]), lines[start + 1 : end]
+        options = [(o.group(1).lower(), o.group(2)) for x in own if (o := KINDS[4][1].match(x))]
+        until = next((i for i, x in enumerate(own) if KINDS[4][1].match(x)), len(own))
+        out.append(Found("quiz", int(m.group(1)), "multiple_choice", " ".join([m.group(2), *own[:until]]).strip(), CONFIDENCE["choice"], options=options))
+    # theory runs to the next exercise, whatever stands between; so does an exercise
+    while first < len(lines):
+        theory = bool(KINDS[0][1].match(lines[first]))
+        end = next((i for i in range(first + 1, len(lines)) if KINDS[1][1].match(lines[i])), len(lines))
+        section = "teoria" if theory else "esercizio"
+        count[section] += 1
+        parts = [] if theory else [(m.group(1), m.group(2).strip()) for x in lines[first + 1 : end] if (m := SUBPART.match(x))]
+        body = lines[first + 1 : end] if theory else [lines[first], *(x for x in lines[first + 1 : end] if not SUBPART.match(x))]
+        out.append(Found(section, count[section], "multi_part_open" if parts else "open_text", " ".join(body).strip(), CONFIDENCE["theory" if theory else "exercise"], subparts=parts))
+        first = end
+    return out
+
+
 SCHEMA = "id string, section string, number_in_section int, question_type string, stem string, options_json string, subparts_json string, confidence double, needs_review boolean"
 
 
-def parse_documents(texts: DataFrame) -> DataFrame:
-    """Questions of (id, text) rows; null and empty texts give none."""
+def parse_documents(texts: DataFrame, light: bool = False) -> DataFrame:
+    """Questions of (id, text) rows, by the light form if asked for; null and empty texts give none."""
     import json
 
-    lines = pages.split_markers(F.array_join(pages.clean_lines(F.col("text")), "\n"))
+    lines = pages.split_markers(F.array_join(pages.clean_lines(F.col("text")), "\n"), pages.LIGHT_SPLITS if light else pages.SPLITS)
+    parser = parse_light if light else parse
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for q in parse(text.split("\n")) if text else ():
+                for q in parser(text.split("\n")) if text else ():
                     options = json.dumps([{"id": a, "text": b} for a, b in q.options], ensure_ascii=False)
                     subparts = json.dumps([{"id": a, "prompt": b} for a, b in q.subparts], ensure_ascii=False)
                     rows.append((doc, q.section, q.number, q.kind, q.stem, options, subparts, q.confidence, q.needs_review))

@@ -1,14 +1,19 @@
-"""Keyword tags: a fixed table of substrings, held against each question's texts in one projection.
+"""Keyword tags: a fixed table of substrings, found in each question's texts in one pass.
 
 Keywords match anywhere, inside words too. Null texts and malformed JSON count as empty.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.functions import items as I
+from quizloom.sources.tables import spread
 
 # Tags and the substrings that suggest them.
 KEYWORDS: dict[str, list[str]] = {
@@ -79,14 +84,34 @@ def blob(stem: Column, options_json: Column, subparts_json: Column) -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce(stem, F.lit("")), F.concat_ws(" ", options), F.concat_ws(" ", subparts)))
 
 
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, slug, hundredths) of the tags of each text: one pass over it finds all keywords, overlapping ones too."""
+    import ahocorasick
+
+    automaton, tags = ahocorasick.Automaton(), {}
+    for slug, keys in KEYWORDS.items():
+        for key in dict.fromkeys(keys):
+            tags.setdefault(key, []).append(slug)
+    for key, slugs in tags.items():
+        automaton.add_word(key, (key, slugs))
+    automaton.make_automaton()
+    for batch in batches:
+        rows, slugs, scores = [], [], []
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            count = Counter(slug for _, own in {key: own for _, (key, own) in automaton.iter(text)}.items() for slug in own)
+            rows += [row] * (len(count) + 1)
+            slugs += [*count, ALWAYS]
+            scores += [*(min(MOST, FIRST + EACH * n) for n in count.values()), ALWAYS_SCORE]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(slugs, pa.string()), pa.array(scores, pa.int32())], ["id", "slug", "hundredths"])
+
+
 def rule_tags(questions: DataFrame) -> DataFrame:
-    """(id, slug, score): one row per tag of a question; score is min(1, .55 + .15 per keyword found)."""
-    own = questions.select("id", blob(F.col("stem"), F.col("options_json"), F.col("subparts_json")).alias("blob"))
-    hits = [F.struct(F.lit(slug).alias("slug"), sum((F.contains("blob", F.lit(k)).cast("int") for k in keys), F.lit(0)).alias("n")) for slug, keys in KEYWORDS.items()]
-    hits.append(F.struct(F.lit(ALWAYS).alias("slug"), F.lit(-1).alias("n")))
-    rows = own.select("id", F.explode(F.filter(F.array(*hits), lambda h: h["n"] != 0)).alias("h"))
-    score = F.when(F.col("h.n") < 0, ALWAYS_SCORE).otherwise(F.least(F.lit(MOST), FIRST + EACH * F.col("h.n")))
-    return rows.select("id", F.col("h.slug").alias("slug"), (score / 100).cast("decimal(3,2)").alias("score"))
+    """(id, slug, score): one row per tag of a question; score is min(1, .55 + .15 per keyword found).
+
+    Keywords are found in Arrow batches by one automaton for all of them: as JVM expressions they take a search each.
+    """
+    own = questions.select(F.col("id").cast("string").alias("id"), blob(F.col("stem"), F.col("options_json"), F.col("subparts_json")).alias("blob"))
+    return spread(own).mapInArrow(_hits, "id string, slug string, hundredths int").select("id", "slug", (F.col("hundredths") / 100).cast("decimal(3,2)").alias("score"))
 
 
 def parser_tags(stem: Column) -> Column:

@@ -10,7 +10,7 @@ from quizloom.functions import pages as P
 from quizloom.operators import parse as R
 from quizloom.plans.queryset import Tables, query
 
-MARKS = r"(?im)^\s*\d+\.\s|^\s*\d+\)\s|^\s*DOMANDA\s+\d+|DOMANDA\s+TEORIA|ESERCIZIO\s+\d+"
+MARKS = P.MARKERS
 WHITE = r"[\s\x0B\x{00a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -40,6 +40,19 @@ def extraction_best_of(t: Tables) -> DataFrame:
     return own.select("doc_id", F.when(second, "title").otherwise("plain").alias("method"), quality.alias("quality"), (quality < 0.45).alias("is_weak"))
 
 
+@query(f"""
+WITH v AS (SELECT doc_id, 'text' AS method, 1 AS step, {sql_quality("split_part(text, chr(10) || chr(10), 1)")} AS quality FROM documents
+UNION ALL SELECT doc_id, 'pages', 2, {sql_quality('text')} FROM documents UNION ALL SELECT doc_id, 'title', 3, {sql_quality('concat_ws(chr(10), title, text)')} FROM documents),
+k AS (SELECT doc_id, min(step) FILTER (WHERE quality >= 0.45) AS good FROM v GROUP BY doc_id),
+r AS (SELECT v.*, row_number() OVER (PARTITION BY v.doc_id ORDER BY quality DESC, step) AS n FROM v JOIN k ON k.doc_id = v.doc_id WHERE good IS NULL OR step <= good)
+SELECT doc_id, method, quality, quality < 0.45 AS is_weak FROM r WHERE n = 1""")
+def extraction_ladder(t: Tables) -> DataFrame:
+    """Three extractions of each document, from the cheapest on, as far as needed: its first page, all pages, pages with the title."""
+    steps = {"text": F.element_at(F.split("text", "\n\n"), 1), "pages": F.col("text"), "title": F.concat_ws("\n", "title", "text")}
+    out = t.documents.select("doc_id", P.extraction_ladder(steps).alias("x"))
+    return out.select("doc_id", "x.method", "x.quality", "x.is_weak")
+
+
 @query(r"""
 WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), lambda x: regexp_replace(regexp_replace(x, '^[\s\x0B\x{00a0}]+', ''), '[\s\x0B\x{00a0}]+$', '')) AS lines FROM documents)
 SELECT doc_id, array_to_string(list_filter(lines, lambda x: x <> '' AND NOT (starts_with(x, '-- ') AND contains(x, ' of ')) AND NOT starts_with(lower(x), 'studente') AND NOT starts_with(lower(x), 'risposte')
@@ -60,6 +73,34 @@ def parse_questions(t: Tables) -> DataFrame:
     return R.parse_documents(t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
+def sheets(t: Tables) -> DataFrame:
+    """(id, text): an exam sheet a document, written from its plain quiz questions in order of their numbers."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    odd = r"(?i)\b[a-d]\.\s|\d\s*[.)]\s|domanda|esercizio|^-- "
+    options = F.array_sort(I.clean_options(F.col("options_json")))
+    own = t.questions.filter("section = 'quiz' AND question_type = 'multiple_choice'").select("document_id", "number_in_section", plain(F.col("stem")).alias("stem"), options.alias("o"))
+    letters = F.transform("o", lambda x: x["id"])
+    kept = own.filter((F.size("o") >= 2) & (letters == F.slice(F.array(*map(F.lit, "abcd")), 1, F.size("o"))) & (F.col("stem") != "") & ~F.col("stem").rlike(odd) & ~F.array_join(F.transform("o", lambda x: x["text"]), "\n").rlike(odd))
+    lines = F.concat_ws("\n", F.concat(F.lit("DOMANDA "), F.col("number_in_section").cast("string")), "stem", F.array_join(F.transform("o", lambda x: F.concat(x["id"], F.lit(". "), x["text"])), "\n"))
+    return kept.groupBy(F.col("document_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number_in_section", lines.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+
+
+@query(rf"""
+WITH q AS (SELECT document_id, number_in_section, trim(regexp_replace(stem, '\s+', ' ', 'g')) AS stem, {I.sql_options()} AS o FROM questions WHERE section = 'quiz' AND question_type = 'multiple_choice')
+SELECT document_id AS id, number_in_section, stem, len(o)::INTEGER AS options FROM q WHERE len(o) BETWEEN 2 AND 4 AND list_transform(o, lambda x: x.id) = list_slice(['a', 'b', 'c', 'd'], 1, len(o)) AND stem <> ''
+  AND NOT regexp_matches(stem, '(?i)\b[a-d]\.\s|\d\s*[.)]\s|domanda|esercizio|^-- ') AND NOT regexp_matches(array_to_string(list_transform(o, lambda x: x.text), chr(10)), '(?i)\b[a-d]\.\s|\d\s*[.)]\s|domanda|esercizio|^-- ')""")
+def parse_sheets(t: Tables) -> DataFrame:
+    """The questions parsed back from sheets that were written from the bank: as many, with the same numbers, stems and options."""
+    own = R.parse_documents(sheets(t))
+    return own.select("id", "number_in_section", "stem", F.json_array_length("options_json").alias("options"))
+
+
+@query()
+def parse_questions_light(t: Tables) -> DataFrame:
+    """Questions by the light form of the parser."""
+    return R.parse_documents(t.documents.select(F.col("doc_id").alias("id"), "text"), light=True)
+
+
 @query("""
 WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS page, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) AS no FROM documents WHERE text IS NOT NULL),
 k AS (SELECT doc_id, no, CASE WHEN length(trim(page)) >= 80 THEN 'text' WHEN trim(page) <> '' THEN 'image' ELSE 'empty' END AS kind FROM p),

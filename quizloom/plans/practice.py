@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quizloom.operators import evidence as E
 from quizloom.operators import schedule as S
+from quizloom.operators import study as N
 from quizloom.operators import tags as G
+from quizloom.operators.asked import parse_ids, pool_bound
 from quizloom.plans.queryset import Tables, query
 
 ATTEMPTS = "(SELECT DISTINCT ON (id) * FROM attempts)"
@@ -25,14 +27,14 @@ def schedule_state(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH s AS ({S.SQL_STATE}), d AS (SELECT s.user_id, s.due_at, q.id AS question_id, q.needs_review, row_number() OVER (PARTITION BY s.user_id ORDER BY s.due_at, q.needs_review DESC, q.id) AS k
+WITH s AS ({S.SQL_STATE}), d AS (SELECT s.user_id, s.due_at, q.id AS question_id, q.needs_review, row_number() OVER (PARTITION BY s.user_id ORDER BY s.due_at, coalesce(q.needs_review, false), q.id) AS k
   FROM s JOIN questions q ON q.id = s.question_id WHERE NOT q.is_discarded AND s.due_at <= TIMESTAMPTZ '2025-01-01 00:00:00+00')
 SELECT user_id, question_id, due_at FROM d WHERE k = 1""")
 def study_next_due(t: Tables) -> DataFrame:
     """The most overdue question of each user at a given time."""
     due = S.schedule_state(E.deduplicated_attempts(t.attempts)).filter(F.col("due_at") <= F.lit("2025-01-01 00:00:00+00:00").cast("timestamp"))
     own = due.join(E.live(t.questions).select(F.col("id").alias("question_id"), "needs_review"), "question_id")
-    best = own.groupBy("user_id").agg(F.min(F.struct("due_at", (~F.col("needs_review")).alias("plain"), "question_id")).alias("b"))
+    best = own.groupBy("user_id").agg(F.min(F.struct("due_at", F.coalesce("needs_review", F.lit(False)).alias("review"), "question_id")).alias("b"))
     return best.select("user_id", F.col("b.question_id").alias("question_id"), F.col("b.due_at").alias("due_at"))
 
 
@@ -45,36 +47,49 @@ def study_next_new(t: Tables) -> DataFrame:
     return E.live(t.questions).join(seen, "id", "left_anti").select("id", "section", "number_in_section").orderBy("section", "number_in_section", "id").limit(20)
 
 
-@query("""SELECT id FROM questions WHERE NOT is_discarded AND section = 'quiz' AND number_in_section NOT IN (1, 2, 3) AND document_id <> 'none' ORDER BY number_in_section, id LIMIT 50""")
+EXCLUDED = "15e009a1-013d-4e6e-acf3-2c7e16921df0, no id,,1F0184A5-e605-4049-a50c-581b45fac6ae, 0"  # as a caller sends them
+
+
+@query("""SELECT id FROM questions WHERE NOT is_discarded AND section = 'quiz' AND number_in_section NOT IN (1, 2, 3) AND document_id <> 'none'
+AND id NOT IN ('15e009a1-013d-4e6e-acf3-2c7e16921df0', '1f0184a5-e605-4049-a50c-581b45fac6ae') ORDER BY number_in_section, id LIMIT 50""")
 def study_next_excluding(t: Tables) -> DataFrame:
-    """Exclusion lists as literal predicates, which reach the scan."""
-    own = E.live(t.questions).filter((F.col("section") == "quiz") & ~F.col("number_in_section").isin(1, 2, 3) & (F.col("document_id") != "none"))
+    """Exclusion lists, as sent, parsed into literal predicates, which reach the scan."""
+    own = E.live(t.questions).filter((F.col("section") == "quiz") & ~F.col("number_in_section").isin(1, 2, 3) & (F.col("document_id") != "none") & ~F.col("id").isin(*parse_ids(EXCLUDED)))
     return own.orderBy("number_in_section", "id").limit(50).select("id")
 
 
-@query(f"""
-WITH s AS ({S.SQL_STATE}), q AS (SELECT id, row_number() OVER (ORDER BY section, number_in_section, id) AS pos FROM questions WHERE NOT is_discarded),
-seen AS (SELECT s.user_id, q.pos, row_number() OVER (PARTITION BY s.user_id ORDER BY q.pos) AS k FROM s JOIN q ON q.id = s.question_id),
-gap AS (SELECT user_id, coalesce(min(CASE WHEN pos <> k THEN k END), max(k) + 1) AS pos FROM seen GROUP BY user_id),
-due AS (SELECT s.user_id, arg_min(s.question_id, (s.due_at, s.question_id)) AS question_id FROM s JOIN q ON q.id = s.question_id WHERE s.due_at <= TIMESTAMPTZ '2024-01-01 00:00:00+00' GROUP BY s.user_id)
-SELECT gap.user_id, coalesce(due.question_id, q.id) AS question_id, CASE WHEN due.question_id IS NOT NULL THEN 'due' WHEN q.id IS NOT NULL THEN 'new' ELSE 'none' END AS reason
-FROM gap LEFT JOIN due ON due.user_id = gap.user_id LEFT JOIN q ON q.pos = gap.pos""")
+# the cascade of next_questions over all users; order: of the unseen; first, second: which of due and new comes first
+CASCADE = f"""
+WITH s AS ({S.SQL_STATE}), q AS (SELECT id, coalesce(needs_review, false) AS review, row_number() OVER (ORDER BY {{order}}) AS pos FROM questions WHERE NOT is_discarded),
+own AS (SELECT s.user_id, s.question_id, s.due_at, q.review, q.pos, row_number() OVER (PARTITION BY s.user_id ORDER BY q.pos) AS k FROM s JOIN q ON q.id = s.question_id),
+gap AS (SELECT user_id, coalesce(min(CASE WHEN pos <> k THEN k END), max(k) + 1) AS pos FROM own GROUP BY user_id),
+picked AS (SELECT user_id, arg_min(question_id, (due_at, review, question_id)) FILTER (WHERE due_at <= TIMESTAMPTZ '2024-01-01 00:00:00+00') AS due, arg_min(question_id, (due_at, review, question_id)) AS later FROM own GROUP BY user_id),
+c AS (SELECT u.user_id, p.due, q.id AS new, p.later FROM (SELECT DISTINCT user_id FROM s) u LEFT JOIN gap g ON g.user_id = u.user_id LEFT JOIN q ON q.pos = coalesce(g.pos, 1) LEFT JOIN picked p ON p.user_id = u.user_id)
+SELECT user_id, coalesce({{first}}, {{second}}, later) AS question_id, CASE WHEN {{first}} IS NOT NULL THEN '{{first}}' WHEN {{second}} IS NOT NULL THEN '{{second}}' WHEN later IS NOT NULL THEN 'scheduled' ELSE 'none' END AS reason FROM c"""
+
+
+@query(CASCADE.format(order="section, number_in_section, id", first="due", second="new"))
 def study_next_all_users(t: Tables) -> DataFrame:
-    """The next question of every user: the most overdue, else the first unseen.
+    """The next question of every user: the most overdue, else the first unseen, else the earliest scheduled."""
+    state = S.schedule_state(E.deduplicated_attempts(t.attempts)).persist()
+    return N.next_questions(state, t.questions, F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"))
+
+
+@query(CASCADE.format(order=f"md5(id || '{SEED}'), id", first="new", second="due"))
+def study_next_prefer_new(t: Tables) -> DataFrame:
+    """The next question of every user with new ones preferred, in a seeded order."""
+    state = S.schedule_state(E.deduplicated_attempts(t.attempts)).persist()
+    return N.next_questions(state, t.questions, F.lit("2024-01-01 00:00:00+00:00").cast("timestamp"), prefer_new=True, seed=SEED)
 
-    The first unseen is the first gap in the positions a user has seen, so users and
-    questions are never crossed.
-    """
-    positions = E.live(t.questions).select("id", "section", "number_in_section").orderBy("section", "number_in_section", "id")
-    at = positions.rdd.map(lambda r: r.id).zipWithIndex().toDF("id string, pos long").select(F.col("id").alias("question_id"), (F.col("pos") + 1).alias("pos")).persist()
-    state = S.schedule_state(E.deduplicated_attempts(t.attempts)).join(at, "question_id").persist()
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("pos"))
-    seen = state.select("user_id", "pos", k.alias("k"))
-    gap = seen.groupBy("user_id").agg(F.coalesce(F.min(F.when(F.col("pos") != F.col("k"), F.col("k"))), F.max("k") + 1).cast("long").alias("pos"))
-    due = state.filter(F.col("due_at") <= F.lit("2024-01-01 00:00:00+00:00").cast("timestamp")).groupBy("user_id").agg(F.min(F.struct("due_at", "question_id"))["question_id"].alias("due_id"))
-    out = gap.join(due, "user_id", "left").join(at.withColumnRenamed("question_id", "new_id"), "pos", "left")
-    reason = F.when(F.col("due_id").isNotNull(), "due").when(F.col("new_id").isNotNull(), "new").otherwise("none")
-    return out.select("user_id", F.coalesce("due_id", "new_id").alias("question_id"), reason.alias("reason"))
+
+@query(f"""
+WITH s AS ({S.SQL_STATE}), n AS ({CASCADE.format(order="section, number_in_section, id", first="due", second="new")})
+SELECT user_id, question_id, due_at, state FROM s
+UNION ALL SELECT user_id, question_id, TIMESTAMPTZ '2024-01-01 00:00:00+00', 'new' FROM n WHERE reason = 'new' AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = n.user_id AND s.question_id = n.question_id)""")
+def schedule_after_showing(t: Tables) -> DataFrame:
+    """Schedules after every user was shown the next question: a new one gets a row unless it has one."""
+    state, now = S.schedule_state(E.deduplicated_attempts(t.attempts)).persist(), F.lit("2024-01-01 00:00:00+00:00").cast("timestamp")
+    return N.shown(state, N.next_questions(state, t.questions, now), now)
 
 
 def _hash(*parts: str) -> F.Column:
@@ -117,6 +132,21 @@ def simulation_round_robin(t: Tables) -> DataFrame:
     return ranked.orderBy("round", _hash("bucket"), "id").limit(60).select("id", "bucket", "round")
 
 
+@query(f"""
+WITH g AS ({G.sql_rule_tags()}), p AS (SELECT q.id, coalesce(min(g.slug), '__untagged__') AS bucket FROM questions q LEFT JOIN g ON g.id = q.id AND g.slug <> 'reti' WHERE NOT q.is_discarded GROUP BY q.id)
+SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY md5(id || '{SEED}'), id) AS round FROM p""")
+def simulation_interleaved(t: Tables) -> DataFrame:
+    """All live questions with the round each comes in when buckets take turns: sorted by round and bucket, they are the whole interleaved list."""
+    first = G.rule_tags(E.live(t.questions)).groupBy("id").agg(F.coalesce(F.min(F.when(F.col("slug") != "reti", F.col("slug"))), F.lit("__untagged__")).alias("bucket"))
+    return N.interleaved(first, SEED)
+
+
+@query(f"""SELECT id, document_id, section, number_in_section FROM (SELECT * FROM questions WHERE NOT is_discarded ORDER BY md5(id || '{SEED}'), id LIMIT {pool_bound(20)})""")
+def simulation_pool(t: Tables) -> DataFrame:
+    """The random pool for a sample of 20: six times as many rows, 600 at least, in a seeded order."""
+    return E.live(t.questions).select("id", "document_id", "section", "number_in_section").orderBy(_hash("id"), "id").limit(pool_bound(20))
+
+
 @query(f"""
 WITH a AS (SELECT simulation_id, question_id, arg_max(is_correct, (answered_at, id)) AS is_correct, max(answered_at) AS answered_at, count(*) AS answers FROM {ATTEMPTS} WHERE simulation_id IS NOT NULL GROUP BY ALL)
 SELECT a.simulation_id, a.question_id, a.is_correct, a.answered_at, a.answers, q.section, coalesce(q.is_discarded, true) AS is_gone FROM a LEFT JOIN questions q ON q.id = a.question_id""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizloom.plans import bank, ingest, practice, reports, review, text  # noqa: F401
+from quizloom.plans import bank, ingest, practice, records, reports, review, text  # noqa: F401
 from quizloom.plans.queryset import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

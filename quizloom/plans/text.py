@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quizloom.functions import items as I
 from quizloom.functions import text as X
 from quizloom.operators import tags as G
+from quizloom.operators.asked import parse_tags
 from quizloom.plans.queryset import Tables, query
+from quizloom.sources.tables import spread
 
 OPTS, SUBS = I.sql_options(), I.sql_subparts()
 
@@ -44,7 +46,7 @@ def canonical_options(t: Tables) -> DataFrame:
 def with_fingerprint(questions: DataFrame) -> DataFrame:
     """The questions with their computed fingerprint."""
     own = I.fingerprint(F.col("question_type"), F.col("stem"), I.clean_options(F.col("options_json")), I.clean_subparts(F.col("subparts_json")))
-    return questions.withColumn("fingerprint", own)
+    return spread(questions).withColumn("fingerprint", own)
 
 
 FINGERPRINTS = f"(SELECT *, {I.sql_fingerprint()} AS fingerprint FROM (SELECT *, {OPTS} AS o, {SUBS} AS s FROM questions))"
@@ -137,10 +139,13 @@ def question_tags_list(t: Tables) -> DataFrame:
     return G.rule_tags(t.questions).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("slug")), ",").alias("slugs"), F.count("*").alias("n"))
 
 
+WANTED = "dns, 'nat'\n\"firewall\",, dns"  # as a caller types them
+
+
 @query(f"""WITH g AS ({G.sql_rule_tags()}) SELECT id FROM questions q WHERE EXISTS (SELECT 1 FROM g WHERE g.id = q.id AND g.slug IN ('dns', 'nat', 'firewall')) AND NOT is_discarded""")
 def questions_with_any_tag(t: Tables) -> DataFrame:
     """Live questions that have any of the tags: a left semi join."""
-    hits = G.rule_tags(t.questions).filter(F.col("slug").isin("dns", "nat", "firewall")).select("id")
+    hits = G.rule_tags(t.questions).filter(F.col("slug").isin(*parse_tags(WANTED))).select("id")
     return t.questions.filter("NOT is_discarded").select("id").join(hits, "id", "left_semi")
 
 

@@ -59,3 +59,9 @@ def write_snapshot(df: DataFrame, path: str, partition: str | None = None) -> No
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, one file a partition."""
     df.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A report that was written as one JSON file (or as lines); give a schema to infer nothing."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
