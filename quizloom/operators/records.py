@@ -46,17 +46,16 @@ def corrections_generated(existing: DataFrame, generated: DataFrame, now: Column
     edits are safe; with overwrite the new option and text replace the old ones. Payloads stay.
     """
     keys, columns = ["user_id", "question_id"], ["correct_option_id", "explanation_text", "answer_payload"]
-    option = lambda side: F.nullif(F.col(f"{side}.correct_option_id"), F.lit(""))
-    text = lambda side: F.when(E.present(F.col(f"{side}.explanation_text")), F.col(f"{side}.explanation_text"))
     saved = F.col("new._saved").isNotNull()
     fresh = generated.filter((F.coalesce("correct_option_id", F.lit("")) != "") | E.present(F.col("explanation_text"))).select(*keys, *columns).withColumn("_saved", F.lit(True))
     old = existing.select(*keys, *columns, "reviewed_at").withColumn("_saved", F.lit(None).cast("boolean"))
     fresh = fresh.withColumn("reviewed_at", now)
     there = F.col("old.reviewed_at").isNotNull() | F.col("old.correct_option_id").isNotNull() | F.col("old.explanation_text").isNotNull() | F.col("old.answer_payload").isNotNull()
     if overwrite:
-        rules = {c: F.when(saved, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) for c in columns[:2]}
+        result = {c: F.col(f"new.{c}") for c in columns[:2]}
     else:
-        rules = {"correct_option_id": F.coalesce("old.correct_option_id", option("new")), "explanation_text": F.coalesce(text("old"), "new.explanation_text", "old.explanation_text")}
+        result = {"correct_option_id": F.coalesce("old.correct_option_id", "new.correct_option_id"), "explanation_text": F.coalesce(F.nullif(F.trim("old.explanation_text"), F.lit("")), "new.explanation_text")}
+    rules = {c: F.when(saved, x).otherwise(F.col(f"old.{c}")) for c, x in result.items()}
     rules["answer_payload"] = F.when(there, F.col("old.answer_payload")).otherwise(F.col("new.answer_payload"))
     rules["reviewed_at"] = F.when(saved, F.col("new.reviewed_at")).otherwise(F.col("old.reviewed_at"))
     return M.upserted(old, fresh, keys, rules).drop("_saved")

@@ -74,7 +74,7 @@ def _generated(t: Tables, overwrite: bool) -> DataFrame:
     return R.corrections_generated(old, new, moment(NOW), overwrite)
 
 
-@query(GENERATED.format(option="coalesce(o.correct_option_id, n.correct_option_id)", text="coalesce(nullif(trim(o.explanation_text, ' '), ''), n.explanation_text, o.explanation_text)"))
+@query(GENERATED.format(option="coalesce(o.correct_option_id, n.correct_option_id)", text="CASE WHEN n.user_id IS NULL THEN o.explanation_text ELSE coalesce(nullif(trim(o.explanation_text, ' '), ''), n.explanation_text) END"))
 def correction_generated(t: Tables) -> DataFrame:
     """Generated corrections saved so that what is there and not empty stays."""
     return _generated(t, False)
