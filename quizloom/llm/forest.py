@@ -1,22 +1,28 @@
 """Problem 5: new batches held against all history by a prefix-tree hash forest.
 
-A set of words is hashed into TREES labels, each the digests of DEPTH min-wise hashes in
-order. The labels of accepted sets lie in a shared folder as runs: Parquet files sorted by
-(tree, label). The labels of a batch are looked up in them by equality, all runs being read
-through a bitmap of what is asked for. The search begins with whole labels; for records that
-have no verified partner yet, shorter prefixes follow until the recall promised for a pair
-right at the threshold, 1 - (1 - t^d)^TREES, reaches the target. At the target RECALL whole
-labels suffice and nothing is widened. Candidates are verified exactly on their sorted word arrays. A batch's own labels become another run. In a
-kept folder the word arrays, the places and the bank's residue are kept with the runs: a later
-batch takes its partners from there, and an unchanged bank is asked for its ids only. If the
-bank has changed, only its new rows are hashed; which of its rows are residue depends on all
-of its stems, so that is then judged anew.
+The signature of a set of words has HASHES min-wise digests; each of TREES permutations of it
+gives a label, its first DEPTH digests in order. The labels of accepted sets lie in a shared
+folder as runs: Parquet files sorted by label (the tree comes first in it). A batch is located
+by prefix: begin and end of the prefix are a range of a sorted run. For a batch of few labels
+the ranges go to the scan, which skips the row groups without any; a larger one touches all
+row groups anyway, and the runs are read through a bitmap of the prefixes asked for. The
+search begins with whole labels; for records without an earlier verified partner yet shorter
+prefixes follow, until the recall promised for a pair right at the threshold,
+1 - (1 - t^d)^TREES, reaches the target. Candidates are verified exactly on their sorted
+word arrays. A batch's own labels become another run; many runs are merged into one.
+
+In a kept folder the word arrays, the places and the bank's residue are kept with the runs: a
+later batch takes its partners from there, and an unchanged bank is asked for its ids only. If
+the bank has changed, only its new rows are hashed; which of its rows are residue depends on
+all of its stems, so that is then judged anew. A batch given twice changes nothing.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +34,16 @@ from quizloom.llm.tiles import THRESHOLD, bounded_pairs, verify_pairs
 from quizloom.llm.words import unpack_all, word_sets
 from quizloom.sources.tables import use_checkpoint_dir
 
-TREES, DEPTH, DIGEST = 32, 6, 9
+TREES, DEPTH, DIGEST = 32, 8, 7
+#: Digests of a signature; every one is in so many labels as HASHES goes into TREES * DEPTH.
+HASHES = 128
+#: Digests by which prefixes get shorter from one search to the next.
+WIDER = 2
 #: Bits of the bitmap of a batch's prefixes, which thins the runs before any shuffle: 8 MB.
 BITS = 26
 RECALL = 0.98
+#: Labels of a batch up to which their ranges go to the scan, and runs from which on a kept forest is merged.
+RANGES, MOST_RUNS = 256, 8
 #: A label: the tree in the bits above, then DEPTH digests of DIGEST bits.
 LABEL_BITS = DEPTH * DIGEST
 
@@ -39,35 +51,38 @@ LABEL_BITS = DEPTH * DIGEST
 def depths(threshold: float = THRESHOLD, target: float = RECALL) -> list[int]:
     """Prefix lengths to search, longest first, down to the first that reaches the recall target."""
     out = []
-    for d in range(DEPTH, 0, -1):
+    for d in range(DEPTH, 0, -WIDER):
         out.append(d)
         if 1 - (1 - threshold**d) ** TREES >= target:
-            return out
+            break
     return out
 
 
-def _seeds() -> np.ndarray:
-    x = np.arange(1, (TREES * DEPTH) // 4 + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        return (x * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def permutations() -> np.ndarray:
+    """(TREES, DEPTH): the digests of each tree's label. Each digest comes as often as any other, in different company."""
+    rng = np.random.default_rng(7)
+    return np.concatenate([rng.permutation(HASHES) for _ in range(TREES * DEPTH // HASHES)]).reshape(TREES, DEPTH)
 
 
-def labels(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def labels(words: np.ndarray, starts: np.ndarray, at_once: int = 8) -> np.ndarray:
     """Labels (rows x TREES) of sets given as one array of words; no set may be empty."""
-    seeds = _seeds()[None, :]
-    least = np.empty((len(starts) - 1, 4 * seeds.shape[1]), dtype=np.uint16)
+    n = len(starts) - 1
     with np.errstate(over="ignore"):
-        for i, (start, stop) in enumerate(zip(starts[:-1], starts[1:])):
-            x = words[start:stop, None] * seeds
+        seeds = (np.arange(1, HASHES // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        least = np.empty((n, HASHES), dtype=np.uint16)
+        for i in range(0, n, at_once):
+            j = min(i + at_once, n)
+            x = words[starts[i] : starts[j], None] * seeds
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
-            least[i] = x.view(np.uint16).min(axis=0)  # four hashes of 16 bits from one of 64
+            least[i:j] = np.minimum.reduceat(x.view(np.uint16), starts[i:j] - starts[i], axis=0)  # four hashes of 16 bits from one of 64
         digest = (least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DIGEST)
-    out = np.zeros((len(starts) - 1, TREES), dtype=np.uint64)
-    for t in range(TREES):
-        out[:, t] = np.uint64(t)
-        for d in range(DEPTH):
-            out[:, t] = (out[:, t] << np.uint64(DIGEST)) | digest[:, t * DEPTH + d]
+    out = np.empty((n, TREES), dtype=np.uint64)
+    for t, own in enumerate(permutations()):
+        label = np.full(n, t, dtype=np.uint64)
+        for d in own:
+            label = (label << np.uint64(DIGEST)) | digest[:, d]
+        out[:, t] = label
     return out
 
 
@@ -94,26 +109,56 @@ def entries(sets: DataFrame) -> DataFrame:
 class HashForest:
     """Runs of sorted labels in a folder that all executors share."""
 
+    schema = "label long, set_hash long"
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
     def append(self, sets: DataFrame) -> None:
         """Adds the labels of sets as a run: each task sorts its own, nothing is shuffled; sorted labels compress well."""
-        entries(sets).sortWithinPartitions("label").write.mode("append").option("compression", "zstd").parquet(self.folder)
+        self._write(entries(sets).sortWithinPartitions("label"))
+
+    def _write(self, run: DataFrame) -> None:
+        run.write.option("compression", "zstd").parquet(f"{self.folder}/run-{uuid.uuid4()}")
 
-    def merge(self, into: str, files: int = 32) -> HashForest:
+    def _files(self) -> tuple[object, list]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return files, [x.getPath() for x in files.listStatus(path)] if files.exists(path) else []
+
+    def merge(self, into: str, files: int | None = None) -> HashForest:
         """Merges all runs into one, range-partitioned and sorted, in another folder; an entry comes once."""
-        merged = self.spark.read.parquet(self.folder).dropDuplicates(["label", "set_hash"])
-        merged.repartitionByRange(files, "label").sortWithinPartitions("label").write.mode("overwrite").option("compression", "zstd").parquet(into)
-        return HashForest(self.spark, into)
+        every, merged = self.runs().dropDuplicates(["label", "set_hash"]), HashForest(self.spark, into)
+        merged._write((every.repartitionByRange(files, "label") if files else every.repartitionByRange("label")).sortWithinPartitions("label"))
+        return merged
+
+    def compact(self) -> None:
+        """Merges the runs in place if there are more than MOST_RUNS. The old ones go after the new one is whole: entries that are there twice meanwhile change nothing."""
+        system, old = self._files()
+        if len(old) > MOST_RUNS:
+            self.merge(self.folder)
+            for path in old:
+                system.delete(path, True)
+
+    def remove(self) -> None:
+        """Deletes the folder with all runs."""
+        system, _ = self._files()
+        system.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder), True)
 
     def runs(self) -> DataFrame:
-        return self.spark.read.schema("label long, set_hash long").parquet(self.folder)
+        paths = [p.toString() for p in self._files()[1]]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def candidates(self, asked: DataFrame, depth: int) -> DataFrame:
         """(a, b): set hashes of asked (label, set_hash) with each set of the runs that shares a prefix."""
         shift = (DEPTH - depth) * DIGEST
         own = asked.select(F.shiftrightunsigned("label", shift).alias("prefix"), F.col("set_hash").alias("a"))
+        few = own.select("prefix").limit(RANGES + 1).collect()
+        if len(few) <= RANGES:
+            begins = sorted({r.prefix << shift for r in few})
+            near = [F.col("label").between(x, x + (1 << shift) - 1) for x in begins]
+            there = self.runs().filter(reduce(or_, near, F.lit(False))).select(F.shiftrightunsigned("label", shift).alias("prefix"), F.col("set_hash").alias("b"))
+            return own.join(there, "prefix").filter("a <> b").select("a", "b").distinct()
         wanted = self.spark.sparkContext.broadcast(_prefix_bits(own))
 
         def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,35 +174,31 @@ class HashForest:
         return own.join(there, "prefix").filter("a <> b").select("a", "b").distinct()
 
     def search(self, asked: DataFrame, arrays: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-        """(a, b): all verified partners in the runs of the sets asked for; arrays holds the words of both sides.
-
-        A set that has a partner is not searched for at shorter prefixes.
-        """
-        waiting, found = entries(asked).persist(), None
-        for d in depths(threshold, target):
-            pairs = bounded_pairs(self.candidates(waiting, d), arrays, threshold).select("a", "b").persist()
-            links = verify_pairs(pairs, arrays, threshold).checkpoint()
-            found = links if found is None else found.union(links)
-            waiting = waiting.join(links.select(F.col("a").alias("set_hash")).distinct(), "set_hash", "left_anti")
-        return found
+        """(a, b): all verified partners in the runs of the sets asked for, at the recall target; arrays holds the words of both sides."""
+        pairs = bounded_pairs(self.candidates(entries(asked).persist(), depths(threshold, target)[-1]), arrays, threshold).select("a", "b").persist()
+        return verify_pairs(pairs, arrays, threshold).checkpoint()
 
     def earliest(self, asked: DataFrame, arrays: DataFrame, first: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-        """(a, linked): of each set asked for, the least place of a verified partner; first (set_hash, first) gives the places.
+        """(a, linked): of each set asked for that has a verified partner before it, that one's place; first (set_hash, first) gives the places.
 
         The partner of the least place with the fewest differing bits is verified first; it
         settles most sets. Of the others all further candidates are verified.
         """
         places = first.withColumnRenamed("set_hash", "b")
+        before = first.select(F.col("set_hash").alias("a"), F.col("first").alias("own"))
         waiting, found = entries(asked).persist(), None
         for d in depths(threshold, target):
-            pairs = bounded_pairs(self.candidates(waiting, d), arrays, threshold).join(places, "b").persist()
+            # only partners that come before a set tell that it repeats something
+            pairs = bounded_pairs(self.candidates(waiting, d), arrays, threshold).join(places, "b").join(before, "a").filter("first < own").persist()
             best = pairs.groupBy("a").agg(F.min(F.struct("first", "differ", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.first").alias("linked")).persist()
             settled = best.join(verify_pairs(best.select("a", "b"), arrays, threshold), ["a", "b"], "left_semi").select("a", "linked").checkpoint()
             others = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(settled.select("a"), "a", "left_anti").persist()
             later = others.join(verify_pairs(others.select("a", "b"), arrays, threshold), ["a", "b"], "left_semi").groupBy("a").agg(F.min("first").alias("linked"))
             links = settled.union(later).checkpoint()
             found = links if found is None else found.union(links)
-            waiting = waiting.join(links.select(F.col("a").alias("set_hash")), "set_hash", "left_anti")
+            waiting = waiting.join(links.select(F.col("a").alias("set_hash")), "set_hash", "left_anti").persist()
+            for used in (pairs, best, others):
+                used.unpersist()
         return found
 
 
@@ -220,6 +261,7 @@ def _add_batch(spark: SparkSession, folder: str, bank: DataFrame, new: DataFrame
     forest = HashForest(spark, f"{folder}/labels")
     _add_bank(spark, folder, forest, bank, columns)
     forest.append(new)
+    forest.compact()
     new.select("set_hash", "words").write.mode("append").parquet(f"{folder}/sets")
     new.groupBy("set_hash").agg(F.min("raw_id").alias("first")).write.mode("append").parquet(f"{folder}/incoming")
     residue = _kept(spark, f"{folder}/residue", "question_id string")
@@ -259,5 +301,7 @@ def repeated_records(incoming: DataFrame, bank: DataFrame, folder: str | None =
         arrays = known.select("set_hash", "words").union(new.select("set_hash", "words"))
         first = _places(new.groupBy("set_hash").agg(F.min("raw_id").alias("first")), accepted).persist()
     earliest = forest.earliest(new, arrays, first, threshold, target)
+    if folder is None:  # what was found is checkpointed: the runs are of no more use
+        forest.remove()
     rows = new.select("raw_id", "set_hash").join(first, "set_hash").join(earliest.withColumnRenamed("a", "set_hash"), "set_hash", "left")
     return rows.filter((F.col("first") < F.col("raw_id")) | (F.col("linked") < F.col("raw_id"))).select("raw_id")

@@ -198,6 +198,40 @@ def test_runs_can_be_added_and_merged(spark, tmp_path):
     assert key(lake) == key(merged) and merged.runs().count() == len(key(merged))
 
 
+def test_many_runs_are_merged_in_place_and_a_batch_given_twice_changes_nothing(spark, plain_bank, monkeypatch, tmp_path):
+    monkeypatch.setattr(forest, "MOST_RUNS", 2)
+    rows = bank(60, seed=9)
+    known, new = rows[:20], [(i, *r[1:]) for i, r in enumerate(rows[20:])]
+    questions = spark.createDataFrame(known, QUESTION)
+    whole = {r.raw_id for r in forest.repeated_records(spark.createDataFrame(new, INCOMING), questions).collect()}
+    out = []
+    for i in range(0, len(new), 20):
+        for _ in range(2):
+            out += [r.raw_id for r in forest.repeated_records(spark.createDataFrame(new[i : i + 20], INCOMING), questions, str(tmp_path / "kept")).collect()]
+    assert len(forest.HashForest(spark, str(tmp_path / "kept/labels"))._files()[1]) <= forest.MOST_RUNS
+    assert sorted(out) == sorted([*whole, *whole])
+
+
+def test_ranges_of_a_small_batch_reach_the_scan(spark, tmp_path):
+    sets = words.word_sets(spark.createDataFrame(bank(80), QUESTION), "id").persist()
+    lake = forest.HashForest(spark, str(tmp_path / "r"))
+    lake.append(sets)
+    few = forest.entries(sets.filter("n_words > 12").limit(2)).persist()
+    for depth in forest.depths():
+        own = lake.candidates(few, depth)
+        assert "PushedFilters: [Or" in own._jdf.queryExecution().toString() or "GreaterThanOrEqual(label" in own._jdf.queryExecution().toString()
+        shift = (forest.DEPTH - depth) * forest.DIGEST
+        brute = few.selectExpr(f"shiftrightunsigned(label, {shift}) AS p", "set_hash AS a").join(lake.runs().selectExpr(f"shiftrightunsigned(label, {shift}) AS p", "set_hash AS b"), "p").filter("a <> b").select("a", "b").distinct()
+        assert sorted(own.collect()) == sorted(brute.collect())
+
+
+def test_search_widens(monkeypatch):
+    deep = forest.depths()
+    assert len(deep) > 1 and deep[0] == forest.DEPTH
+    used = np.bincount(forest.permutations().ravel(), minlength=forest.HASHES)
+    assert (used == forest.TREES * forest.DEPTH // forest.HASHES).all()
+
+
 def test_depths_reach_the_target():
     deep = forest.depths(0.7, 0.98)
     assert 1 - (1 - 0.7 ** deep[-1]) ** forest.TREES >= 0.98 and deep == sorted(deep, reverse=True)
