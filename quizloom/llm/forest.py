@@ -106,17 +106,47 @@ def entries(sets: DataFrame) -> DataFrame:
     return sets.select("set_hash", "n_words", "words").mapInArrow(_entries, "label long, set_hash long")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each batch as one sorted block a tree: its least and greatest label, the labels and the hashes."""
+    for batch in _entries(batches):
+        label, owner = batch.column(0).to_numpy().reshape(-1, TREES), batch.column(1).to_numpy().reshape(-1, TREES)
+        order = np.argsort(label, axis=0)
+        label, owner = np.take_along_axis(label, order, axis=0).T, np.take_along_axis(owner, order, axis=0).T
+        blocks = [pa.array([np.ascontiguousarray(x).tobytes() for x in own], pa.binary()) for own in (label, owner)]
+        yield pa.RecordBatch.from_arrays([pa.array(label[:, 0]), pa.array(label[:, -1]), *blocks], ["low", "high", "labels", "hashes"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(labels, hashes) of each block."""
+    for label, owner in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        yield np.frombuffer(label, dtype=np.uint64), np.frombuffer(owner, dtype=np.int64)
+
+
+def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for label, owner in _unpacked(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(label.view(np.int64)), pa.array(owner)], ["label", "set_hash"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted entries as blocks."""
+    for batch in batches:
+        if batch.num_rows:
+            label, owner = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(label[:1]), pa.array(label[-1:]), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (label, owner))], ["low", "high", "labels", "hashes"])
+
+
 class HashForest:
-    """Runs of sorted labels in a folder that all executors share."""
+    """Runs of sorted labels in a folder that all executors share: rows are sorted blocks with their least and greatest label."""
 
-    schema = "label long, set_hash long"
+    schema = "low long, high long, labels binary, hashes binary"
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
     def append(self, sets: DataFrame) -> None:
-        """Adds the labels of sets as a run: each task sorts its own, nothing is shuffled; sorted labels compress well."""
-        self._write(entries(sets).sortWithinPartitions("label"))
+        """Adds the labels of sets as a run: each task sorts its own, nothing is shuffled."""
+        self._write(sets.select("set_hash", "n_words", "words").mapInArrow(_blocks, self.schema).sortWithinPartitions("low"))
 
     def _write(self, run: DataFrame) -> None:
         run.write.option("compression", "zstd").parquet(f"{self.folder}/run-{uuid.uuid4()}")
@@ -129,7 +159,8 @@ class HashForest:
     def merge(self, into: str, files: int | None = None) -> HashForest:
         """Merges all runs into one, range-partitioned and sorted, in another folder; an entry comes once."""
         every, merged = self.runs().dropDuplicates(["label", "set_hash"]), HashForest(self.spark, into)
-        merged._write((every.repartitionByRange(files, "label") if files else every.repartitionByRange("label")).sortWithinPartitions("label"))
+        ranged = every.repartitionByRange(files, "label") if files else every.repartitionByRange("label")
+        merged._write(ranged.sortWithinPartitions("label").mapInArrow(_packed, self.schema))
         return merged
 
     def compact(self) -> None:
@@ -145,32 +176,34 @@ class HashForest:
         system, _ = self._files()
         system.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder), True)
 
-    def runs(self) -> DataFrame:
+    def blocks(self) -> DataFrame:
         paths = [p.toString() for p in self._files()[1]]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
+    def runs(self) -> DataFrame:
+        """(label, set_hash) of all runs."""
+        return self.blocks().mapInArrow(_loose, "label long, set_hash long")
+
     def candidates(self, asked: DataFrame, depth: int) -> DataFrame:
         """(a, b): set hashes of asked (label, set_hash) with each set of the runs that shares a prefix."""
         shift = (DEPTH - depth) * DIGEST
         own = asked.select(F.shiftrightunsigned("label", shift).alias("prefix"), F.col("set_hash").alias("a"))
-        few = own.select("prefix").limit(RANGES + 1).collect()
-        if len(few) <= RANGES:
-            begins = sorted({r.prefix << shift for r in few})
-            near = [F.col("label").between(x, x + (1 << shift) - 1) for x in begins]
-            there = self.runs().filter(reduce(or_, near, F.lit(False))).select(F.shiftrightunsigned("label", shift).alias("prefix"), F.col("set_hash").alias("b"))
-            return own.join(there, "prefix").filter("a <> b").select("a", "b").distinct()
+        few, blocks = own.select("prefix").limit(RANGES + 1).collect(), self.blocks()
+        if len(few) <= RANGES:  # a block is read only if a range asked for meets its own
+            near = [(F.col("high") >= x) & (F.col("low") < x + (1 << shift)) for x in sorted({r.prefix << shift for r in few})]
+            blocks = blocks.filter(reduce(or_, near, F.lit(False)))
         wanted = self.spark.sparkContext.broadcast(_prefix_bits(own))
 
         def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.frombuffer(wanted.value, dtype=np.uint8)
-            for batch in batches:
-                prefix = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(shift)
+            for label, owner in (x for batch in batches for x in _unpacked(batch)):
+                prefix = label >> np.uint64(shift)
                 slot = _slot(prefix)
                 hit = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1)
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(prefix[hit].view(np.int64)), batch.column(1).take(pa.array(hit))], ["prefix", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(prefix[hit].view(np.int64)), pa.array(owner[hit])], ["prefix", "b"])
 
-        there = self.runs().mapInArrow(thinned, "prefix long, b long")
+        there = blocks.mapInArrow(thinned, "prefix long, b long")
         return own.join(there, "prefix").filter("a <> b").select("a", "b").distinct()
 
     def search(self, asked: DataFrame, arrays: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
@@ -196,7 +229,7 @@ class HashForest:
             later = others.join(verify_pairs(others.select("a", "b"), arrays, threshold), ["a", "b"], "left_semi").groupBy("a").agg(F.min("first").alias("linked"))
             links = settled.union(later).checkpoint()
             found = links if found is None else found.union(links)
-            waiting = waiting.join(links.select(F.col("a").alias("set_hash")), "set_hash", "left_anti").persist()
+            waiting = waiting.join(links.select(F.col("a").alias("set_hash")), "set_hash", "left_anti").checkpoint()
             for used in (pairs, best, others):
                 used.unpersist()
         return found
@@ -299,8 +332,10 @@ def repeated_records(incoming: DataFrame, bank: DataFrame, folder: str | None =
         forest.append(known)
         forest.append(new)
         arrays = known.select("set_hash", "words").union(new.select("set_hash", "words"))
-        first = _places(new.groupBy("set_hash").agg(F.min("raw_id").alias("first")), accepted).persist()
-    earliest = forest.earliest(new, arrays, first, threshold, target)
+        first = _places(new.groupBy("set_hash").agg(F.min("raw_id").alias("first")), accepted).checkpoint()
+    # records that repeat a bank row word by word need no search
+    asked = new.select("set_hash", "n_words", "words").join(first.filter(F.col("first") > -(1 << 62)), "set_hash", "left_semi")
+    earliest = forest.earliest(asked, arrays, first, threshold, target)
     if folder is None:  # what was found is checkpointed: the runs are of no more use
         forest.remove()
     rows = new.select("raw_id", "set_hash").join(first, "set_hash").join(earliest.withColumnRenamed("a", "set_hash"), "set_hash", "left")
