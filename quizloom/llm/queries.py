@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quizloom.llm import encode, forest, glyphs, mixture, pairs, residue, scans, stuffing, survivors, tiles
-from quizloom.sources.tables import read_table
+from quizloom.sources import tables
+from quizloom.sources.tables import spread
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows take far longer to judge than to move: over all cores, if it has fewer splits than there are."""
+    return spread(tables.read_table(spark, folder, name))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +83,9 @@ _ALL = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: SQL for DuckDB where it can express an operator; the others are tested against brute force.
+_OPTION_LINES = """CASE WHEN json_valid(options_json) AND json_type(options_json) = 'ARRAY'
+  THEN array_to_string(list_filter(list_transform(from_json(options_json, '[{"id":"VARCHAR","text":"VARCHAR"}]'), lambda o: o.text), lambda x: x IS NOT NULL), chr(10)) END"""
+_LINES = f"(SELECT id, stem, {_OPTION_LINES} AS options FROM questions)"
 ORACLES: dict[str, str] = {
     "p4_found": """
         WITH q AS (
@@ -91,4 +100,8 @@ ORACLES: dict[str, str] = {
           FROM q)
         SELECT fp AS dedupe_fingerprint, max(CASE WHEN k = 1 THEN id END) AS keeper_id, max(CASE WHEN f = 1 THEN id END) AS files_from_id
         FROM r WHERE members > 1 GROUP BY fp""",
+    "p7_found": f"""
+        SELECT id AS question_id, 'stem' AS field FROM {_LINES} WHERE {glyphs.found_sql("stem")}
+        UNION ALL SELECT id, 'options_json' FROM {_LINES} WHERE {glyphs.found_sql("options")}""",
+    "p7_unified": f'SELECT id AS question_id, {glyphs.unified_sql("stem")} AS stem, {glyphs.unified_sql("options")} AS options FROM {_LINES}',
 }
