@@ -1,7 +1,7 @@
 """Problem 2: broken prompt and response pairs among question corrections.
 
-A response is compressed with its prompt as zstandard dictionary: a copy then costs next to
-nothing. Languages and refusals come from dictionaries. Breaking off is judged by brackets
+A response is compressed with its prompt as zstandard dictionary: a copy, but for a lead-in,
+then costs next to nothing. Languages and refusals come from dictionaries with weights. Breaking off is judged by brackets
 and list marks and, for a response that ends without a mark, by a terminal-context model
 counted over all stems and responses: how often a sentence ends after the response's last
 two words, and whether the last word is ever seen inside a text.
@@ -44,26 +44,31 @@ for _words in LANGUAGES.values():
         _COUNT[_w] = _COUNT.get(_w, 0) + 1
 FUNCTION_WORDS = {lang: frozenset(words) for lang, words in LANGUAGES.items()}
 
-# Ways of declining to answer.
-REFUSALS = re.compile(
-    "|".join(
-        (
-            r"\bnon (?:posso|possiamo|intendo|voglio|so) (?:rispondere|aiutar\w*|fornir\w*|dar\w*|indicar\w*|risolver\w*|svolger\w*|esprimer\w*|soddisfar\w*)",
-            r"\bnon sono in grado di (?:rispondere|aiutar\w*|fornir\w*|dar\w*|indicar\w*|risolver\w*)",
-            r"\b(?:devo|debbo|preferisco|sono costrett\w+ a) (?:declinare|rifiutare|non (?:esprimer\w*|risponder\w*))",
-            r"\b(?:mi dispiace|spiacente|mi scuso|purtroppo)\b[^.]{0,25}\b(?:non (?:posso|sono|dispongo)|devo|lascio|preferisco|questa richiesta|la risposta non|svolgere|mi è)",
-            r"\bnon mi è (?:consentito|permesso|possibile)|\bmi è (?:impossibile|vietato)|\bciò che mi è permesso",
-            r"\bnon dispongo di (?:informazioni|elementi|dati)",
-            r"\blascio la soluzione\b|\bla risposta non è disponibile per\b|\bin quanto (?:assistente|modello)\b|\bcome (?:assistente|modello linguistico)\b",
-            r"\bi(?:'|’)?m sorry\b|\bi am sorry\b|\bi apologi[sz]e\b",
-            r"\bi (?:can't|can’t|cannot|can not|won't|will not|must decline|have to decline|would rather not|prefer not)\b|\bi(?:'d|’d) rather not\b",
-            r"\bi(?:'|’)?(?: a)?m (?:unable|not able|not allowed)\b|\bi am (?:unable|not able|not allowed)\b|\bi do(?: not|n't|n’t) have (?:enough|sufficient|access)",
-            r"\b(?:request|question) cannot be (?:fulfilled|answered)\b|\bnot something i (?:do|can)\b|\bas an? (?:ai|assistant|language model|virtual assistant)\b",
-            r"\bi leave (?:the|this) (?:solution|answer)\b|\bbeyond what i\b|\banswer is not available for\b|\bimpossible for me to\b",
-        )
-    ),
-    re.I,
-)
+# The refusal dictionary, word beginnings with their weights; a sentence whose entries sum up to REFUSED declines to answer.
+REFUSED = 1.0
+DECLINING = {
+    0.3: "purtroppo|unfortunately",
+    0.5: "mi dispiace|spiacente|mi scuso|in grado di|devo |debbo |preferisco |lascio |non dispongo|not enough|sufficient|non è disponibile|isn't available",
+    0.6: "non posso |non possiamo |non intendo |non voglio |non so |non sono in grado|i do not have|i don't have|questa richiesta|cannot be|the request|the question",
+    1.0: "declinare|rifiutare|non mi è consentito|non mi è permesso|non mi è possibile|mi è impossibile|mi è vietato|ciò che mi è permesso|lascio la soluzione|in quanto assistente|in quanto modello|come assistente|come modello linguistico"
+    "|i'm sorry|i am sorry|i apologi|i can't|i cannot|i can not|i won't|i will not|i must decline|i have to decline|i would rather not|i'd rather not|i prefer not|i'm unable|i am unable|i'm not able|i am not able|i'm not allowed|i am not allowed"
+    "|not something i do|not something i can|as an ai|as an assistant|as a language model|as a virtual assistant|i leave the solution|i leave the answer|i leave this|beyond what i|answer is not available|impossible for me to",
+}
+# What is declined.
+DECLINED = {0.5: "risponder|aiutar|fornir|dare |darti|dar |indicar|risolver|svolger|esprimer|soddisfar|informazioni|elementi|dati|la risposta|la soluzione|fulfilled|answered|access|information"}
+REFUSALS = {phrase: weight for part in (DECLINING, DECLINED) for weight, phrases in part.items() for phrase in phrases.split("|")}
+REFUSAL = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, REFUSALS), key=len, reverse=True)) + ")")
+DECLINES = frozenset(p for phrases in DECLINING.values() for p in phrases.split("|"))
+
+
+def refuses(text: str) -> bool:
+    """Whether a sentence of the text declines to answer: entries of the refusal dictionary, at least one of them declining, sum up to REFUSED."""
+    for sentence in re.split(r"[.!?\n]+", text.lower().replace("\u2019", "'")):
+        found = set(REFUSAL.findall(sentence))
+        if found and not found.isdisjoint(DECLINES) and sum(REFUSALS[x] for x in found) >= REFUSED:
+            return True
+    return False
+
 
 WORD = re.compile(r"\w+")
 BRACKET = re.compile(r"[()\[\]{}«»“”]")
@@ -71,8 +76,10 @@ LETTER = re.compile(r"(?<![\w(])(?:[a-hA-H]|\d)[.):](?=\s)")
 MARKS = ".!?…"
 #: Ends per occurrence of a context from which an unmarked end counts as complete.
 LEAST_END_SHARE = 0.4
-#: Bytes that a copy may cost beyond its share, and that share of its size alone.
-COPY_BYTES, COPY_SHARE = 8, 0.3
+#: A copy costs at most this share of its own compressed size once the prompt is known, both without what an empty frame costs.
+COPY_SHARE, FRAME = 0.11, 9
+#: Words of a lead-in that may come before a copy, at most half of it, and bytes that such words may cost.
+LEAD, LEAD_BYTES = 8, 72
 BITS = 24
 
 
@@ -113,29 +120,29 @@ class CopyModel:
         self.zstd = zstandard
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
 
-    def sizes(self, response: bytes, prompt: bytes) -> tuple[int, int]:
+    def knowing(self, prompt: bytes):  # noqa: ANN201
+        """A compressor that has the prompt as its dictionary."""
         dictionary = self.zstd.ZstdCompressionDict(prompt, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
-        with_prompt = self.zstd.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return len(self.alone.compress(response)), len(with_prompt.compress(response))
+        return self.zstd.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def is_copy(self, explanation: str, prompt: str) -> bool:
-        """Costs next to nothing given the prompt; then word by word, but for a lead-in, nothing is new."""
+        """Given the prompt it costs next to nothing, but for a lead-in."""
         response, source = plain(LETTER.sub(" ", explanation)), plain(LETTER.sub(" ", prompt))
-        words = response.split()
-        if len(words) < 4 or len(source) < 8:
+        if not response or not source:
             return False
-        alone, given = self.sizes(response.encode(), source.encode())
-        if given > COPY_BYTES + COPY_SHARE * alone + 12:
+        given = self.knowing(source.encode())
+        costs = lambda text: (len(self.alone.compress(text)) - FRAME, len(given.compress(text)) - FRAME)
+        words = response.split()
+        alone, rest = costs(response.encode())
+        if rest <= COPY_SHARE * alone:
+            return True
+        if rest > COPY_SHARE * alone + LEAD_BYTES:  # more than a lead-in can cost
             return False
-        threes = list(zip(source.split(), source.split()[1:], source.split()[2:]))
-        known = set(threes)
-        own = list(zip(words, words[1:], words[2:]))
-        new = [x not in known for x in own]
-        lead = 0  # a lead-in of up to eight words may come first
-        while lead < min(8, len(new)) and new[lead]:
-            lead += 1
-        rest = new[lead:]
-        return len(rest) >= 2 and len(rest) >= 0.4 * len(new) and sum(rest) <= 0.12 * len(rest)
+        for lead in range(1, min(LEAD, len(words) // 2) + 1):
+            alone, rest = costs(" ".join(words[lead:]).encode())
+            if rest <= COPY_SHARE * alone:
+                return True
+        return False
 
 
 CLOSES = dict(zip(")]}»”", "([{«“"))
@@ -211,7 +218,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 defect = "empty"
             elif text and WORD.search(text) and plain(TAG.sub(" ", text)) not in NOTHING:
                 prompt = "\n".join(x for x in (stem, options, subparts) if x)
-                if REFUSALS.search(text):
+                if refuses(text):
                     defect = "refusal"
                 elif prompt and copies.is_copy(text, prompt):
                     defect = "copy"

@@ -209,3 +209,28 @@ def test_single_keywords_between_commas_and_an_even_corpus(spark):
     out = stuffing.stuffed_pages(spark.createDataFrame(rows + spam, "doc_id string, text string")).collect()
     assert {r.doc_id for r in out} == {"commas"}
     assert stuffing.stuffed_pages(spark.createDataFrame(spam, "doc_id string, text string")).collect() == []  # no prose to compare with
+
+
+# Problem 2: what decides
+
+
+def test_compression_with_the_prompt_decides_copies():
+    copies = pairs.CopyModel()
+    prompt = "Il router di frontiera scarta i pacchetti quando la coda supera la soglia configurata. Quale conseguenza ha per il mittente?"
+    assert copies.is_copy("IL ROUTER di frontiera scarta, i pacchetti quando la coda supera la soglia configurata", prompt)
+    assert copies.is_copy("La domanda chiede questo: il router di frontiera scarta i pacchetti quando la coda supera la soglia configurata", prompt)
+    assert not copies.is_copy("Il mittente rallenta perché il router di frontiera scarta i pacchetti e nessun riscontro arriva più in tempo", prompt)
+    assert not copies.is_copy("Rallenta", prompt) and not copies.is_copy("", prompt) and not copies.is_copy("Rallenta", "")
+
+    class Blind(pairs.CopyModel):
+        def knowing(self, prompt):
+            return self.alone
+
+    assert not Blind().is_copy(prompt, prompt)  # without the dictionary nothing is a copy
+
+
+def test_refusals_are_summed_up_by_sentence():
+    for text in ("Mi dispiace, ma non posso rispondere a questa richiesta.", "I'm sorry, but no.", "Purtroppo non dispongo di informazioni per indicare la risposta.", "Non sono in grado di fornire la soluzione."):
+        assert pairs.refuses(text)
+    for text in ("Il mittente non può rispondere. Fornire i dati è compito del server.", "Non so quanti host, ma bastano 8 bit.", "Non sospende la trasmissione dei dati.", "", "Devo usare la porta 80."):
+        assert not pairs.refuses(text)
