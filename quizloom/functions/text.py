@@ -7,6 +7,8 @@ A null text counts as empty where a function says "or empty".
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,13 +39,14 @@ WHITE = f" [{_SPACE}]+|[{_SPACE}&&[^ ]][{_SPACE}]*"
 MAY_CHANGE = r"[^\x00-\x7f\u00c0-\u00ff\u00ab\u00b0\u00b7\u00bb\u2010-\u2025]"
 
 
+#: What is replaced one after the other, as JSON: a constant array keeps the expression small, where nested calls would make it too large to compile.
+_PUT = json.dumps([{"a": a, "b": b} for a, b in [*LONGER.items(), *COMPOSED.items()]])
+
+
 def _compat(c: Column) -> Column:
     """NFKC for the forms this module lists."""
-    mapped = F.translate(c, COMPAT, COMPAT_AS)
-    for form, plain in LONGER.items():
-        mapped = F.replace(mapped, F.lit(form), F.lit(plain))
-    for pair, letter in COMPOSED.items():
-        mapped = F.replace(mapped, F.lit(pair), F.lit(letter))
+    pairs = F.from_json(F.lit(_PUT), "array<struct<a:string,b:string>>")
+    mapped = F.aggregate(pairs, F.translate(c, COMPAT, COMPAT_AS), lambda text, x: F.replace(text, x["a"], x["b"]))
     return F.when(c.rlike(MAY_CHANGE), mapped).otherwise(c)
 
 
