@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -152,6 +153,20 @@ def test_scan_noise_is_found_and_repaired(spark):
     assert fixed["h0", "stem"] == ["Il server autoritativo risponde con un messaggio di errore quando la coda supera la soglia."]
 
 
+def test_headers_whose_words_meet_by_chance_in_running_text(spark):
+    rows = [(f"c{i}", "Il nodo della Università di Zubgx: Reti di calcolatori.", None, None, "it") for i in range(2)]
+    found = scans.found_noise(scanned(spark).union(spark.createDataFrame(rows, QUESTION))).collect()
+    assert {r.question_id for r in found if r.noise == "header"} == {f"h{i}" for i in range(6)}
+
+
+def test_weights_of_pairs_do_not_change_with_the_size_of_the_bank():
+    pair, n = np.array([3, 4, 3, 9]), np.array([scans.CALIBRATED - 100, 60, 39, 1])
+    code, weight = scans.scaled_counts(pair, n)
+    assert code.tolist() == [3, 4] and weight.tolist() == [scans.CALIBRATED - 61, 60]
+    large, same = scans.scaled_counts(pair, n * 50)
+    assert large.tolist() == code.tolist() and np.allclose(same, weight)
+
+
 def test_words_spread_over_partitions_are_counted(spark):
     rows = [(f"s{i}", f"Il nodo {i} usa store-and-forward verso la dorsale.", None, None, "it") for i in range(20)]
     lexicon = scans.lexicon_of(scans.texts_of(spark.createDataFrame(spark.sparkContext.parallelize(rows, 20), QUESTION)))
