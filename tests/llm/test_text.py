@@ -159,6 +159,15 @@ def test_headers_whose_words_meet_by_chance_in_running_text(spark):
     assert {r.question_id for r in found if r.noise == "header"} == {f"h{i}" for i in range(6)}
 
 
+def test_more_headers_than_a_task_holds_are_all_found(spark, monkeypatch):
+    rows = [(f"t{k}{i}", f"Il server autoritativo risponde con un\n{line} {i}\nmessaggio di errore.", None, None, "it") for k, line in enumerate(("Esame di reti - Università", "Calcolatori: compito di reti", "Reti - calcolatori - Università")) for i in range(4)]
+    bank = scanned(spark).union(spark.createDataFrame(rows, QUESTION))
+    few = sorted(map(str, scans.scan_noise(bank).collect()))
+    monkeypatch.setattr(scans, "TEMPLATES", 1)
+    assert sorted(map(str, scans.scan_noise(bank).collect())) == few
+    assert sum("header" in x for x in few) == 18
+
+
 def test_weights_of_pairs_do_not_change_with_the_size_of_the_bank():
     pair, n = np.array([3, 4, 3, 9]), np.array([scans.CALIBRATED - 100, 60, 39, 1])
     code, weight = scans.scaled_counts(pair, n)
