@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quizloom.llm import components, forest, mixture, survivors, tiles, words
@@ -112,6 +113,32 @@ def test_large_tiles_give_the_same_pairs():
     assert brute <= set(zip(a.tolist(), b.tolist()))
 
 
+@pytest.mark.parametrize(("split", "hot"), [(10_000, 10_000), (20, 10_000), (4, 10_000), (4, 40)])
+def test_tiles_of_phrases_are_small_and_keep_every_pair(monkeypatch, split, hot):
+    rng = np.random.default_rng(5)
+    phrases = np.unique(rng.integers(0, 1 << 47, 120)).astype(np.uint64)[:120].reshape(30, 4)
+    sets = [phrases[rng.choice(30, 8, replace=False)].ravel() for _ in range(300)]
+    sets += [np.r_[rng.permutation(s)[: len(s) - rng.integers(0, 4)], rng.choice(phrases.ravel(), rng.integers(0, 4))] for s in sets]
+    sets += [np.r_[s[4:], phrases[rng.integers(30)]] for s in sets[:100]]
+    sets = list({s.tobytes(): s for s in map(np.unique, sets)}.values())
+    flat, starts = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+    words_, counts = np.unique(flat, return_counts=True)
+    common = tiles.Common(words_, counts, len(sets), (flat, starts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([words.pack(s) for s in sets])], ["set_hash", "words"])
+    blocks = pa.Table.from_batches(tiles.tile_blocks(common, 0.7, hot, 4)([batch])).sort_by("bucket")
+    compare, compared = tiles._compare, []
+    monkeypatch.setattr(tiles, "_compare", lambda key, *rest: compared.append(np.unique(key, return_counts=True)[1]) or compare(key, *rest))
+    out = {(a, b) for r in tiles._tile_pairs(0.7, split)(blocks.to_batches()) for a, b in zip(*(c.to_pylist() for c in r.columns))}
+    held = np.array([np.isin(words_, s) for s in sets]).astype(int)
+    shared, sizes = held @ held.T, held.sum(axis=1)
+    brute = set(zip(*(x.tolist() for x in np.nonzero(np.triu(shared >= 0.7 * (sizes[:, None] + sizes - shared) - 1e-9, 1)))))
+    assert len(brute) > 200 and brute <= out
+    if hot == 10_000:  # a phrase gives one row, not one for each of its words: 10 or more of each set
+        assert sum(len(b) for b in blocks.column("block").to_pylist()) // tiles.ROW.itemsize < 5 * len(sets)
+    if split == 4:
+        assert max(c.max() for c in compared if len(c)) < len(sets) / 10
+
+
 def test_one_row_per_question_with_links(spark, plain_bank):
     rows = bank(60)
     out = tiles.linked_questions(spark.createDataFrame(rows, QUESTION)).collect()
